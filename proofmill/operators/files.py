@@ -47,8 +47,8 @@ def list_projects(files: DataFrame, numbered_only: bool = False) -> DataFrame:
 
 
 def project_id(project: Column) -> Column:
-    """Number in front of the first underscore; NULL when it is not a number."""
-    return F.split_part(project, F.lit("_"), F.lit(1)).try_cast("int")
+    """Folder name up to the first underscore; a number for numbered projects."""
+    return F.split_part(project, F.lit("_"), F.lit(1))
 
 
 def test_file_rows(files: DataFrame, suffix: str = C.TEST_SUFFIX) -> DataFrame:

@@ -316,3 +316,56 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files: project, path, kind (test or src), content."""
     return test_files(spark, sf_dir).unionByName(source_files(spark, sf_dir))
+
+
+# Case notes: one per order.  The body of a section is one or two short lines.
+CASE_LINES = (
+    "math $k",
+    "",
+    "EVOSUITE PREFIX ",
+    "",
+    "  C$k c0 = new C$k($c);",
+    "    c0.set($v);",
+    "",
+    "EVOSUITE ASSERTION (REGRESSION ORACLE)",
+    "assertEquals($v, c0.get$g());",
+    "",
+    "",
+    "DEV-WRITTEN PREFIX (DEFECTS4J)",
+    "C$k made = new C$k($v);",
+    "DEV-WRITTEN ASSERTION (DEFECTS4J) ",
+    "",
+    "$true_header",
+    "assertEquals($c, c0.get$g());",
+    "NOTES/EDIT DISTANCE?",
+    "- notes for $k, EVOSUITE PREFIX inside a line",
+    "",
+)
+CASE_SLOTS = {
+    "true_header": "CASE WHEN k % 2 = 0 THEN 'TRUE ASSERTION (FAILS ON BUGGY, PASSES ON FIXED)'"
+    " ELSE 'TRUE ASSERTION ' END",
+}
+
+# Tried prefixes: one note per order, with up to two lists.
+BAD_LINES = (
+    "math $k",
+    "\ttried: 0,$d",
+    "",
+    "time $c",
+    "  tried: $g, 2 ",
+    "tried: $d",
+)
+
+
+def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_facts(spark, sf_dir).select(
+        F.expr("concat('math', k, '.txt')").alias("path"),
+        F.expr(lines_sql(CASE_LINES, CASE_SLOTS)).alias("content"),
+    )
+
+
+def bad_prefix_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_facts(spark, sf_dir).select(
+        F.expr("concat('bad', k, '.txt')").alias("path"),
+        F.expr(lines_sql(BAD_LINES)).alias("content"),
+    )
