@@ -64,14 +64,18 @@ def normalize_tokens(code: Column, drop_access: bool = False) -> Column:
     """Java tokens joined by one space; text that does not lex is kept as it is."""
     found = F.regexp_extract_all(code, F.lit(TOKEN), F.lit(0))
 
-    def render(tokens: Column) -> Column:
+    def render(both: Column) -> Column:
+        source, tokens = both["code"], both["tokens"]
         joined = F.array_join(tokens, " ")
         if drop_access:
             joined = F.regexp_replace(joined, r"\b(" + "|".join(C.ACCESS_MODIFIERS) + r")\s+", "")
         lexes = ~F.exists(tokens, lambda t: t.rlike(BAD_TOKEN))
-        return F.when(lexes & (strip(code) != ""), joined).otherwise(code)
+        return F.when(lexes & (strip(source) != ""), joined).otherwise(source)
 
-    return let(F.filter(found, lambda t: ~t.rlike(r"^/[/*]")), render)
+    tokens = F.filter(found, lambda t: ~t.rlike(r"^/[/*]"))
+    # The code goes in as a value: a column named inside a lambda may be taken
+    # for an alias of the same select.
+    return let(F.struct(code.alias("code"), tokens.alias("tokens")), render)
 
 
 def strip_semicolon(assertion: Column) -> Column:
