@@ -1,9 +1,9 @@
 """Row-local reading of Java text.
 
-A file is one row, so methods are cut out of it without a shuffle: literals and
-comments are blanked at equal length, the rest is read statement by statement
-with a running brace depth, and every member found keeps its offsets into the
-original text.
+A file is one row, so methods are cut out of it without a shuffle: the text is
+read brace by brace, stepping over literals and comments, with a running depth;
+only the heads of members are looked at more closely, and every member found
+keeps its offsets into the original text.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ from proofmill import constants as C
 from proofmill.functions.text import let, strip
 
 # Possessive loops: they neither backtrack nor grow the stack on long literals.
-_PIECES = (
+_OPAQUE = (
     r'"(?:[^"\\\n]|\\.)*+"'
     r"|'(?:[^'\\\n]|\\.)++'"
     r"|//[^\n]*+"
     r"|/\*(?s:.*?)(?:\*/|\z)"
-    r"|[^\"'/]++"
-    r"|[\"'/]"
 )
-_STATEMENT = r"[^{};]*+[{};]"
+_PIECES = _OPAQUE + r"|[^\"'/]++|[\"'/]"
+# Everything up to and with the next brace that is code.  The anchor keeps a text
+# without further braces from being tried again at every character.
+_TO_BRACE = r"\G(?:[^{}\"'/]++|" + _OPAQUE + r"|[\"'/])*+[{}]"
 _TYPE = r"\b(?:class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
 _PARAMS = r"\((?:[^()]|\([^()]*+\))*+\)"
 _SIGNATURE = (
@@ -42,11 +43,6 @@ _NOT_CALLS = (
     "try", "throw", "case", "new", "else", "do",
 )
 
-MEMBER_TYPE = (
-    "struct<method_name:string,is_ctor:boolean,start_n:int,end_n:int,text:string,docstring:string>"
-)
-
-
 def blank_literals(code: Column) -> Column:
     """Blank strings, character literals and comments, keeping length and line ends."""
     pieces = F.regexp_extract_all(code, F.lit(_PIECES), F.lit(0))
@@ -68,92 +64,88 @@ def _after_newline(text: Column) -> Column:
     return F.length(F.substring_index(text, "\n", -1))
 
 
-_STATE = """struct<pos:int,line:int,line_pos:int,depth:int,low:int,types:int,inside:boolean,
-type_head:string,open:struct<head:string,pos:int,line:int,line_pos:int>,
-found:array<struct<head:string,pos:int,line:int,line_pos:int,close:int,end_n:int>>>"""
+_EVENTS = "array<struct<turn:int,depth:int,seg:string,pos:int,line:int>>"
 
 
-def _measure(stmt: Column) -> Column:
-    """Facts the fold needs from a statement, worked out once."""
+def _step(acc: Column, seg: Column) -> Column:
+    opens = seg.endswith("{")
+    event = F.struct(
+        F.when(opens, 1).otherwise(-1).alias("turn"), acc["depth"].alias("depth"),
+        seg.alias("seg"), acc["pos"].alias("pos"), acc["line"].alias("line"),
+    )
     return F.struct(
-        stmt.alias("s"),
-        F.length(stmt).alias("size"),
-        _newlines(stmt).alias("breaks"),
-        F.when(stmt.endswith("{"), 1).when(stmt.endswith("}"), -1).otherwise(0).alias("turn"),
+        (acc["pos"] + F.length(seg)).alias("pos"),
+        (acc["line"] + _newlines(seg)).alias("line"),
+        F.when(acc["depth"] < 0, acc["depth"]).when(opens, acc["depth"] + 1)
+        .otherwise(acc["depth"] - 1).alias("depth"),
+        F.when(
+            acc["depth"] <= F.when(opens, 1).otherwise(2), F.concat(acc["events"], F.array(event))
+        ).otherwise(acc["events"]).alias("events"),
     )
 
 
-def _step(acc: Column, stmt: Column) -> Column:
-    pos, line = acc["pos"] + stmt["size"], acc["line"] + stmt["breaks"]
-    opens, closes, ends = stmt["turn"] == 1, stmt["turn"] == -1, stmt["turn"] == 0
-    starts_type = (
-        opens & (acc["depth"] == 0) & (acc["types"] == 0) & stmt["s"].rlike(_TYPE)
+def read_structure(code: Column) -> Column:
+    """Fold the braces of a file into its final depth and the braces near the top.
+
+    An event is a brace at file or type level: its direction, the depth before
+    it, the text since the brace before, and where that text starts.  A depth
+    that fell below zero stays there.
+    """
+    zero = F.expr(
+        "named_struct('pos', 0, 'line', 1, 'depth', 0, 'events', array())"
+    ).cast(f"struct<pos:int,line:int,depth:int,events:{_EVENTS}>")
+    return F.aggregate(F.regexp_extract_all(code, F.lit(_TO_BRACE), F.lit(0)), zero, _step)
+
+
+def first_type(structure: Column) -> Column:
+    """Head of the first type of a file and its events (start and number); NULL when none."""
+    heads = F.filter(
+        F.transform(
+            structure["events"],
+            lambda e, i: F.struct(
+                i.alias("at"),
+                F.when((e["turn"] == 1) & (e["depth"] == 0), blank_literals(e["seg"])).alias("head"),
+            ),
+        ),
+        lambda h: h["head"].rlike(_TYPE),
     )
-    here = F.struct(
-        stmt["s"].alias("head"), acc["pos"].alias("pos"), acc["line"].alias("line"),
-        acc["line_pos"].alias("line_pos"),
+    ends = F.filter(
+        F.transform(
+            structure["events"],
+            lambda e, i: F.when((e["turn"] == -1) & (e["depth"] == 1), i),
+        ),
+        lambda i: i.isNotNull(),
     )
-
-    def hit(start: Column) -> Column:
-        return F.array(
+    return let(
+        F.struct(F.try_element_at(heads, F.lit(1)).alias("h"), ends.alias("ends")),
+        lambda x: F.when(
+            x["h"].isNotNull(),
             F.struct(
-                start["head"].alias("head"), start["pos"].alias("pos"),
-                start["line"].alias("line"), start["line_pos"].alias("line_pos"),
-                (pos - 1).alias("close"), line.alias("end_n"),
-            )
-        )
-
-    depth = acc["depth"] + stmt["turn"]
-    return F.struct(
-        pos.alias("pos"),
-        line.alias("line"),
-        F.when(stmt["breaks"] > 0, pos - _after_newline(stmt["s"])).otherwise(acc["line_pos"])
-        .alias("line_pos"),
-        depth.alias("depth"),
-        F.least(acc["low"], depth).alias("low"),
-        F.when(starts_type, 1).otherwise(acc["types"]).alias("types"),
-        F.when(opens & (acc["depth"] == 0), starts_type).otherwise(acc["inside"]).alias("inside"),
-        F.when(starts_type, stmt["s"]).otherwise(acc["type_head"]).alias("type_head"),
-        F.when(opens & (acc["depth"] == 1), here).otherwise(acc["open"]).alias("open"),
-        F.when(
-            closes & (acc["depth"] == 2) & acc["inside"], F.concat(acc["found"], hit(acc["open"]))
-        )
-        .when(
-            ends & (acc["depth"] == 1) & acc["inside"] & stmt["s"].contains("("),
-            F.concat(acc["found"], hit(here)),
-        )
-        .otherwise(acc["found"])
-        .alias("found"),
+                x["h"]["head"].alias("head"), x["h"]["at"].alias("at"),
+                F.try_element_at(F.filter(x["ends"], lambda i: i > x["h"]["at"]), F.lit(1))
+                .alias("end"),
+            ),
+        ),
     )
 
 
-def read_structure(blanked: Column) -> Column:
-    """Fold the statements of a blanked file into type head, depths and members."""
-    zero = F.expr(
-        "named_struct('pos', 0, 'line', 1, 'line_pos', 0, 'depth', 0, 'low', 0, 'types', 0,"
-        " 'inside', false, 'type_head', '', 'open',"
-        " named_struct('head', '', 'pos', 0, 'line', 0, 'line_pos', 0), 'found',"
-        " cast(array() AS array<struct<head:string,pos:int,line:int,line_pos:int,close:int,end_n:int>>))"
-    ).cast(_STATE)
-    statements = F.regexp_extract_all(blanked, F.lit(_STATEMENT), F.lit(0))
-    return F.aggregate(F.transform(statements, _measure), zero, _step)
-
-
-def parses(structure: Column) -> Column:
+def parses(structure: Column, kind: Column) -> Column:
     """A file counts as readable when it holds a type and its braces balance."""
-    return (structure["types"] >= 1) & (structure["depth"] == 0) & (structure["low"] == 0)
+    return kind.isNotNull() & (structure["depth"] == 0)
 
 
-def type_name(structure: Column) -> Column:
-    return F.regexp_extract(structure["type_head"], _TYPE, 1)
+def type_name(kind: Column) -> Column:
+    return F.coalesce(F.regexp_extract(kind["head"], _TYPE, 1), F.lit(""))
 
 
-def superclass_name(structure: Column) -> Column:
+def superclass_name(kind: Column) -> Column:
     """Simple name after ``extends`` of the first class; empty when none."""
-    head = structure["type_head"]
+    head = kind["head"]
     for _ in range(3):
         head = F.regexp_replace(head, r"<[^<>]*>", " ")
-    return F.regexp_extract(head, r"\bclass\s+\w+\s+extends\s+(\w+)", 1)
+    return F.coalesce(
+        F.regexp_extract(head, r"\bclass\s+\w+\s+extends\s+(\w+)", 1), F.lit("")
+    )
 
 
 def class_count(blanked: Column) -> Column:
@@ -161,13 +153,68 @@ def class_count(blanked: Column) -> Column:
     return F.regexp_count(blanked, F.lit(r"(?<![.\w$])class\s+[A-Za-z_$]"))
 
 
-def members(code: Column, structure: Column, class_name: Column) -> Column:
+def _declarations(events: Column) -> Column:
+    """Possible member heads among the events of a type: what ends at a body or at a semicolon."""
+
+    def pieces_of(e: Column, k: Column) -> Column:
+        following = F.try_element_at(events, k + 2)
+        return F.struct(
+            e.alias("e"),
+            F.split(blank_literals(e["seg"]), r"(?<=;)", -1).alias("pieces"),
+            (following["pos"] + F.length(following["seg"]) - 1).alias("close"),
+            (following["line"] + _newlines(following["seg"])).alias("end_n"),
+        )
+
+    def heads_of(x: Column) -> Column:
+        def head(piece: Column, i: Column) -> Column:
+            body = (i == F.size(x["pieces"]) - 1) & (x["e"]["turn"] == 1)
+            return F.when(
+                piece.contains("(") & (body | piece.endswith(";")),
+                let(
+                    F.array_join(F.slice(x["pieces"], F.lit(1), i), ""),
+                    lambda above: F.struct(
+                        piece.alias("head"),
+                        F.substring(x["e"]["seg"], F.length(above) + 1, F.length(piece)).alias("raw"),
+                        (x["e"]["pos"] + F.length(above)).alias("pos"),
+                        (x["e"]["line"] + _newlines(above)).alias("line"),
+                        F.when(body, x["close"])
+                        .otherwise(x["e"]["pos"] + F.length(above) + F.length(piece) - 1)
+                        .alias("close"),
+                        F.when(body, x["end_n"])
+                        .otherwise(x["e"]["line"] + _newlines(above) + _newlines(piece))
+                        .alias("end_n"),
+                    ),
+                ),
+            )
+
+        return F.filter(F.transform(x["pieces"], head), lambda h: h.isNotNull())
+
+    numbered = F.transform(events, lambda e, k: F.struct(e.alias("e"), k.alias("k")))
+    top = F.filter(numbered, lambda x: (x["e"]["depth"] == 1) & x["e"]["seg"].contains("("))
+    return F.flatten(
+        F.transform(F.transform(top, lambda x: pieces_of(x["e"], x["k"])), heads_of)
+    )
+
+
+def members(code: Column, structure: Column, kind: Column) -> Column:
     """Methods of the first type in text order, each with lines, text and doc comment.
 
     Written as a row of small transforms, so that each regular expression runs
     once per member and only on members that are still in the running.
     """
+    return let(
+        F.struct(
+            code.alias("code"), type_name(kind).alias("class_name"),
+            F.slice(
+                structure["events"], kind["at"] + 2,
+                F.coalesce(kind["end"], F.size(structure["events"])) - kind["at"],
+            ).alias("events"),
+        ),
+        lambda x: _members(x["code"], x["class_name"], x["events"]),
+    )
 
+
+def _members(code: Column, class_name: Column, events: Column) -> Column:
     def signature(e: Column) -> Column:
         return F.struct(
             e.alias("e"), F.regexp_extract(e["head"], _SIGNATURE, 1).alias("name"),
@@ -191,9 +238,11 @@ def members(code: Column, structure: Column, class_name: Column) -> Column:
     def place(m: Column) -> Column:
         start = F.when(
             m["breaks"] > 0, m["e"]["pos"] + F.length(m["lead"]) - _after_newline(m["lead"])
-        ).otherwise(m["e"]["line_pos"])
+        ).otherwise(
+            m["e"]["pos"] - _after_newline(F.substring(code, F.lit(1), m["e"]["pos"]))
+        )
         gap = F.substring(
-            code, m["e"]["pos"] + 1, F.length(F.regexp_extract(m["e"]["head"], r"^\s*+", 0))
+            m["e"]["raw"], F.lit(1), F.length(F.regexp_extract(m["e"]["head"], r"^\s*+", 0))
         )
         return F.struct(m.alias("m"), start.alias("start"), gap.alias("gap"))
 
@@ -209,7 +258,7 @@ def members(code: Column, structure: Column, class_name: Column) -> Column:
             .alias("docstring"),
         )
 
-    signed = F.filter(F.transform(structure["found"], signature), lambda m: m["name"] != "")
+    signed = F.filter(F.transform(_declarations(events), signature), lambda m: m["name"] != "")
     methods = F.filter(F.transform(signed, rest_of), is_method)
     return F.transform(F.transform(methods, place), describe)
 

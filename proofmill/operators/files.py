@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from proofmill import constants as C
 from proofmill.functions import java, text
-from proofmill.operators.shape import computed_once
+from proofmill.operators.shape import computed_once, exploded
+
+
+METHODS = (
+    "array<struct<method_name:string,is_ctor:boolean,start_n:int,end_n:int,text:string,"
+    "docstring:string>>"
+)
 
 
 def any_of(column: Column, parts: list[str] | tuple[str, ...]) -> Column:
@@ -66,9 +72,9 @@ def source_file_rows(files: DataFrame) -> DataFrame:
 def numbered_lines(files: DataFrame) -> DataFrame:
     """One row per line, numbered from 1."""
     lines = F.split(F.regexp_replace("content", r"\n\z", ""), "\n", -1)
-    return files.select(
-        "project", "path", F.posexplode(lines).alias("i", "line")
-    ).select("project", "path", (F.col("i") + 1).alias("n"), "line")
+    return exploded(files.select("project", "path", "content"), lines, "line", "i").select(
+        "project", "path", (F.col("i") + 1).alias("n"), "line"
+    )
 
 
 def path_parts(files: DataFrame) -> DataFrame:
@@ -110,21 +116,20 @@ def read_files(files: DataFrame) -> DataFrame:
     Adds class_name, superclass, n_classes, package, imports, parses and methods
     (array, constructors first).  A file that does not read stays, flagged.
     """
-    blanked = files.withColumn("blanked", java.blank_literals(F.col("content")))
-    folded = computed_once(blanked, "structure", java.read_structure(F.col("blanked")))
-    named = folded.withColumn("class_name", java.type_name(F.col("structure")))
-    listed = named.withColumn(
-        "found", java.members(F.col("content"), F.col("structure"), F.col("class_name"))
+    folded = computed_once(files, "structure", java.read_structure(F.col("content")))
+    typed = computed_once(folded, "first_type", java.first_type(F.col("structure")))
+    listed = computed_once(
+        typed, "found", java.members(F.col("content"), F.col("structure"), F.col("first_type"))
     )
     return listed.select(
         *files.columns,
-        "class_name",
-        java.superclass_name(F.col("structure")).alias("superclass"),
-        java.class_count(F.col("blanked")).alias("n_classes"),
+        java.type_name(F.col("first_type")).alias("class_name"),
+        java.superclass_name(F.col("first_type")).alias("superclass"),
+        java.class_count(java.blank_literals(F.col("content"))).alias("n_classes"),
         text.package_name(F.col("content")).alias("package"),
         text.import_entries(F.col("content")).alias("imports"),
-        java.parses(F.col("structure")).alias("parses"),
-        java.constructors_first(F.col("found")).alias("methods"),
+        java.parses(F.col("structure"), F.col("first_type")).alias("parses"),
+        java.constructors_first(F.coalesce("found", F.array().cast(METHODS))).alias("methods"),
     )
 
 
@@ -151,9 +156,9 @@ def drop_runaway_methods(methods: DataFrame) -> DataFrame:
 
 
 def imports_table(files: DataFrame) -> DataFrame:
-    return files.select(
-        "project", "path", F.explode(text.import_entries(F.col("content"))).alias("entry")
-    ).select("project", "path", "entry.simple", "entry.fqn")
+    return exploded(files, text.import_entries(F.col("content")), "entry").select(
+        "project", "path", "entry.simple", "entry.fqn"
+    )
 
 
 def pair_tests_with_sources(

@@ -1,4 +1,4 @@
-"""Plan-shaping helper."""
+"""Plan-shaping helpers."""
 
 from __future__ import annotations
 
@@ -14,3 +14,16 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     one-element explode, which stays inside whole-stage code generation.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def exploded(df: DataFrame, value: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per entry of a computed array, optionally with its position.
+
+    A plain explode lets the optimizer infer a size filter and push it down,
+    where the whole array would be worked out a second time.
+    """
+    entries = computed_once(df, "_entries", value)
+    row = F.explode("_entries").alias(name) if position is None else F.posexplode(
+        "_entries"
+    ).alias(position, name)
+    return entries.select(*df.columns, row)

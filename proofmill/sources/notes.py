@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.functions.text import let, strip
+from proofmill.operators.shape import exploded
 
 # How a header line begins, and the section it opens.
 SECTION_HEADERS = {
@@ -50,8 +51,8 @@ def case_sections(notes: DataFrame) -> DataFrame:
     return notes.select(
         F.regexp_extract("content", _CASE, 1).alias("bug_project"),
         F.regexp_extract("content", _CASE, 2).cast("bigint").alias("bug_id"),
-        F.explode(cut).alias("x"),
-    ).select(
+        cut.alias("cut"),
+    ).transform(exploded, F.col("cut"), "x").select(
         "bug_project", "bug_id",
         F.try_element_at(named, F.regexp_extract(strip(F.col("x.head")), _HEADER, 1))
         .alias("section"),
@@ -68,7 +69,7 @@ def bad_prefixes(notes: DataFrame) -> DataFrame:
         F.array_join("x.body_lines", "\n"), F.lit(r"tried:[ \t]*([0-9, \t]+)"), F.lit(1)
     )
     return (
-        notes.select(F.explode(cut).alias("x"))
+        exploded(notes, cut, "x")
         .select(
             F.regexp_extract("x.head", _CASE, 1).alias("bug_project"),
             F.regexp_extract("x.head", _CASE, 2).cast("bigint").alias("bug_id"),
