@@ -517,8 +517,8 @@ SELECT test_path AS path, j AS ordinal,
 FROM t WHERE test_ok""",
     "oracle_edit_distance": f"""
 SELECT 'math' AS bug_project, k AS bug_id,
-  levenshtein({S.template(_SECTIONS[0][1])}, {S.template(_SECTIONS[2][1])}) AS prefix_distance,
-  levenshtein({S.template(_SECTIONS[1][1])}, {S.template(_SECTIONS[3][1])}) AS assertion_distance,
-  levenshtein({S.template(_SECTIONS[1][1])}, {S.template(_SECTIONS[4][1])}) AS oracle_distance
+  CAST(levenshtein({S.template(_SECTIONS[0][1])}, {S.template(_SECTIONS[2][1])}) AS INT) AS prefix_distance,
+  CAST(levenshtein({S.template(_SECTIONS[1][1])}, {S.template(_SECTIONS[3][1])}) AS INT) AS assertion_distance,
+  CAST(levenshtein({S.template(_SECTIONS[1][1])}, {S.template(_SECTIONS[4][1])}) AS INT) AS oracle_distance
 FROM ({_CASES})""",
 }
