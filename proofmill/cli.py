@@ -55,14 +55,7 @@ def build_per_assertion(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def combine(spark: SparkSession, args: argparse.Namespace) -> None:
     """All numbered projects in number order, one text folder per half."""
-    lines = written_once(
-        trees.corpus_file_lines(
-            trees._whole(spark, args.root, "*.txt").select(
-                F.substring_index("file", "/", -1).alias("file_name"), "content"
-            )
-        ),
-        "lines",
-    )
+    lines = written_once(trees.read_corpus_lines(spark, args.root), "lines")
     for half in ("assert", "prefix_focal"):
         trees.combine(lines.filter(F.col("half") == half)).select("line").write.text(
             f"{args.output}/all_{half}"

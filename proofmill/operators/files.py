@@ -29,17 +29,6 @@ def filter_projects(df: DataFrame, parts: list[str] | tuple[str, ...]) -> DataFr
     return df.filter(any_of(F.col("project"), parts))
 
 
-def filter_projects_listed(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """As :func:`filter_projects` for a long list of parts held in a table (column ``part``).
-
-    Projects are few next to files, so the substring test runs once per
-    project and the files see an equi semi join.
-    """
-    names = df.select("project").distinct()
-    hit = names.join(wanted, names["project"].contains(wanted["part"]), "left_semi")
-    return df.join(hit, "project", "left_semi")
-
-
 def filter_sample_projects(df: DataFrame) -> DataFrame:
     return filter_projects(df, C.SAMPLE_PROJECTS)
 

@@ -69,12 +69,17 @@ def pair_halves(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """A folder of number_assert.txt and number_prefix_focal.txt files, as paired lines."""
+def read_corpus_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of the number_assert.txt and number_prefix_focal.txt files in a folder."""
     files = _whole(spark, root, "*.txt").select(
         F.substring_index("file", "/", -1).alias("file_name"), "content"
     )
-    return pair_halves(corpus_file_lines(files))
+    return corpus_file_lines(files)
+
+
+def read_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """The same folder as paired lines."""
+    return pair_halves(read_corpus_lines(spark, root))
 
 
 def combine(lines: DataFrame) -> DataFrame:
