@@ -21,10 +21,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import WORD, steps
+from proofmill.llm.common import WORD, small_batches, steps
 from proofmill.llm.shingles import WIDTH, shingle_sets
 
 BLOCK = 1_000_000
@@ -64,24 +64,27 @@ class Items:
                 yield item, common
 
 
+def blocks(items: DataFrame, key: str, text: str, block: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and shingle sets of the distinct items, about ``block`` words at a time."""
+    long = F.regexp_count(F.col(text), F.lit(WORD)) >= WIDTH
+    searched = items.filter(long).select(F.col(key).cast("long").alias("i"), F.col(text).alias("t")).distinct()
+    words = searched.agg(F.sum(F.regexp_count("t", F.lit(WORD))).alias("n")).first()["n"] or 0
+    number = -(-words // block)
+    for part in range(number):
+        rows = searched.filter(F.pmod(F.xxhash64("t"), F.lit(number)) == part).collect()
+        if rows:
+            yield [r["i"] for r in rows], [s for at in range(0, len(rows), 1000) for s in shingle_sets([r["t"] for r in rows[at : at + 1000]])]
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
     percent: int = 75, block: int = BLOCK,
 ) -> DataFrame:
     """``doc_id, item_id, n_item, n_common, containment``: one row for each document that holds an item."""
-    long = F.regexp_count(F.col(item_text), F.lit(WORD)) >= WIDTH
-    searched = items.filter(long).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
-    words = searched.agg(F.sum(F.regexp_count("t", F.lit(WORD))).alias("n")).first()["n"] or 0
-    blocks = -(-words // block)
+    small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, n_item long, n_common long"
 
-    def search(part: int) -> DataFrame:
-        rows = searched.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == part).collect()
-        sets = [s for at in range(0, len(rows), 1000) for s in shingle_sets([r["t"] for r in rows[at : at + 1000]])]
-        if not rows:
-            return docs.sparkSession.createDataFrame([], schema)
-        ids = [r["i"] for r in rows]
-
+    def search(ids: list[int | None], sets: list[np.ndarray]) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Items(ids, sets, percent)
             for batch in batches:
@@ -94,8 +97,30 @@ def contaminated(
 
         return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(scan, schema)
 
-    if not blocks:
-        found = docs.sparkSession.createDataFrame([], schema)
-    else:
-        found = reduce(DataFrame.unionByName, map(search, range(blocks)))
+    found = [search(*b) for b in blocks(items, item_key, item_text, block)]
+    found = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
     return found.withColumn("containment", F.col("n_common") / F.col("n_item"))
+
+
+def clean(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    percent: int = 75, block: int = BLOCK,
+) -> DataFrame:
+    """The documents that hold no item, with all their columns; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+
+    def holds(ids: list[int | None], sets: list[np.ndarray]) -> Column:
+        @F.arrow_udf("boolean")
+        def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = Items(ids, sets, percent)
+            for column in batches:
+                yield pa.array([
+                    any(True for _ in known.found_in(held))
+                    for _, run in steps(column.to_pylist()) for held in shingle_sets(run)
+                ], pa.bool_())
+
+        return scan.asNondeterministic()(F.col(text))
+
+    for b in blocks(items, item_key, item_text, block):
+        docs = docs.filter(~holds(*b))
+    return docs

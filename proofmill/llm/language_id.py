@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import Folding, code_points, hash_share, steps
+from proofmill.llm.common import Folding, code_points, hash_share, small_batches, steps
 
 UNKNOWN = "und"
 #: n-gram vectors that are held at once.
@@ -102,6 +102,7 @@ def fit_profiles(
     The bound holds per language whatever the size of the input: the rows of each language are counted
     first, and a row is in if the hash of its key is below that language's share.
     """
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).limit(10_001).collect()}
     if len(counts) > 10_000:

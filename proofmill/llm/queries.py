@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import (
-    chat, decontamination, language_id, mixing, sharding, token_counts, top_k, toxicity, warc,
+    chat, decontamination, jaccard_join, language_id, mixing, sharding, token_counts, top_k, toxicity, warc,
 )
 from proofmill.llm.common import id_remainder, table, word_count
 from proofmill.session import fresh_path, written_once
@@ -53,6 +53,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_top_k": op4_top_k,
     "op5_sharding": op5_sharding,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_chat_perspectives": op7_chat_perspectives,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
