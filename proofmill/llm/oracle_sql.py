@@ -86,8 +86,47 @@ r AS (
 SELECT doc_id, size, source_size, target, epochs * size + greatest(0, least(size, rest - before)) AS taken FROM r
 """
 
+# The checksum runs over the text's bytes with the usual table, which is worked out from its polynomial.
+SHARDING = f"""
+WITH RECURSIVE c(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM c WHERE k < 8
+), t AS (SELECT list(v ORDER BY i) AS steps FROM c WHERE k = 8),
+d AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, {random_key(29)} AS key FROM documents),
+b AS (
+  SELECT doc_id, source, key, CAST(strlen(text) + 1 AS BIGINT) AS size,
+    xor(4294967295, list_reduce([CAST(('0x' || b) AS BIGINT) FOR b IN regexp_extract_all(h, '..')],
+      lambda a, x : xor(a >> 8, steps[(xor(a, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
+  FROM d, t
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size, text_crc32) - 1 AS rank,
+    count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM b
+), p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank + 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST, rank) - 1 AS at_row FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(at_row * 16 // total AS INTEGER) AS shard,
+  at_row - (at_row * 16 // total * total + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p
+"""
+
+JACCARD = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, doc_id, md5(unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d
+), n AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY ALL),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.r <> y.r
+  JOIN n a ON a.r = x.r JOIN n b ON b.r = y.r GROUP BY x.r, y.r, a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = d.doc_id
+"""
+
 ORACLE_SQL = {
     "op4_top_k": TOP_K,
+    "op5_sharding": SHARDING,
+    "op6_jaccard_join": JACCARD,
     "op7_chat_perspectives": CHAT,
     "op8_decontamination": DECONTAMINATION,
     "op9_warc": WARC,

@@ -105,7 +105,8 @@ def fit(
         return Model(None, 0.0)
     share = F.when(F.col("y") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
     chosen = given.filter(hash_share(F.col("k"), F.lit(seed)) < share)
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k")
+    # about 2 * per_label keys whatever the input, so they go to the texts and not the texts to them
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
     return train(sample.select("k", "t", "y"), bits, dimension, seed, word_rounds, text_rounds)
 
 
