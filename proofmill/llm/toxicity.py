@@ -91,7 +91,7 @@ class Bags:
 
 def fit(
     docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
-    per_label: int = 4000, bits: int = 19, dimension: int = 8, seed: int = 11,
+    per_label: int = 2500, bits: int = 19, dimension: int = 8, seed: int = 11,
     word_rounds: int = 6, text_rounds: int = 60,
 ) -> Model:
     """Train on a hash sample of about ``per_label`` texts of each label, whatever the size of the input."""
