@@ -67,14 +67,14 @@ class Bags:
         h = np.zeros(len(c), np.uint64)
         for n in range(1, SIZES[-1] + 1):
             if len(c) < n:
-                return
+                break
             h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
             if n in SIZES:
                 at = np.flatnonzero(np.arange(n - 1, len(c)) <= self.next[: len(h)])
                 yield at, mixed(h[at], self.bits)
         if len(self.start):
             place = np.arange(len(c)) - np.repeat(self.start, np.diff(np.append(self.start, len(c))))
-            key = (c + np.uint64(1)) * np.power(np.uint64(0x5851F42D4C957F2D), place.astype(np.uint64))
+            key = c * np.power(np.uint64(0x5851F42D4C957F2D), place.astype(np.uint64))
             yield self.start, mixed(np.add.reduceat(key, self.start) + np.uint64(97), self.bits)
 
     def words(self, weights: np.ndarray) -> np.ndarray:
@@ -229,7 +229,7 @@ def score(text: Column, model: Model) -> Column:
                 bags.read(run)
                 top = np.full(len(run), -np.inf)
                 np.maximum.at(top, bags.text, bags.words(weights) + bias)
-                out[first : first + len(run)] = 1 / (1 + np.exp(-np.clip(top, -700, 700)))
+                out[first : first + len(run)] = np.where(np.isneginf(top), 0, 1 / (1 + np.exp(-np.clip(top, -700, 700))))
             yield pa.array(out)
 
     return scored.asNondeterministic()(text)

@@ -1,0 +1,122 @@
+import hashlib
+import random
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+from pyspark.sql import functions as F
+
+from proofmill.llm import prefix
+from proofmill.llm.mixing import first_words, mix, take
+from proofmill.llm.sharding import interleave
+
+
+def key(seed: int, i: int | None) -> int:
+    return int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+
+
+def null_first(x):
+    return (x is not None, x if x is not None else 0)
+
+
+def rows_of(n: int, seed: int = 1):
+    rng = random.Random(seed)
+    sources = ["a"] * 40 + ["b", "c", None, "Z", "ä"]
+    return [(k, rng.choice(sources), rng.choice([0, 1, 7, 40])) for k in range(n)]
+
+
+def test_interleaving_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "BUCKET_ROWS", 10)
+    rows = rows_of(400) + [(None, "a", 3), (None, None, 3), (5, "a", 3)]
+    of = defaultdict(list)
+    for i, s, z in rows:
+        of[s].append((key(29, i), null_first(i), z, i))
+    placed = sorted(
+        ((2 * r + 1) / (2 * len(group)), null_first(s) if s is None else (True, s.encode()), r, s, x[3], x[2])
+        for s, group in of.items() for r, x in enumerate(sorted(group))
+    )
+    want = Counter()
+    for at, (_, _, _, s, i, z) in enumerate(placed):
+        shard = at * 16 // len(rows)
+        want[(i, s, z, shard, at - -(-shard * len(rows) // 16))] += 1
+    got = interleave(spark.createDataFrame(rows, "doc_id long, source string, size long"), ties=("size",))
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_every_shard_matches_the_mixture(spark):
+    rows = rows_of(1600, 2)
+    got = interleave(spark.createDataFrame(rows, "doc_id long, source string, shard long")).collect()
+    assert set(Counter(r["shard"] for r in got).values()) == {100}
+    total = Counter(r["source"] for r in got)
+    for (shard, source), n in Counter((r["shard"], r["source"]) for r in got).items():
+        assert abs(n - Fraction(total[source], 16)) <= 2
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_empty_tables(spark):
+    rows = spark.createDataFrame([], "doc_id long, source string, size long")
+    assert interleave(rows).collect() == [] and mix(rows).collect() == []
+
+
+def budgets(sizes: dict) -> dict:
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    goal, full = Fraction(3, 2) * sum(sizes.values()), set()
+    while True:
+        rest = goal - sum(2 * sizes[s] for s in full)
+        free = [s for s in order if s not in full]
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = {s for s in free if share[s] > 2 * sizes[s]}
+        if not above:
+            return share | {s: Fraction(2 * sizes[s]) for s in full}
+        full |= above
+
+
+def test_mix_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "BUCKET_ROWS", 10)
+    rows = rows_of(500, 4) + [(None, "a", 3), (7, "b", 0)]
+    sizes = Counter()
+    for _, s, z in rows:
+        sizes[s] += z
+    goal = budgets(sizes)
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    assert len(got) == len(rows)
+    by, want = defaultdict(list), {}
+    for i, s, z in rows:
+        by[s].append((key(31, i), null_first(i), z))
+    for s, group in by.items():
+        epochs, rest = divmod(int(goal[s] + Fraction(1, 10**9)), sizes[s])
+        before = 0
+        for k, n, z in sorted(group):
+            want[(n, s, z)] = epochs * z + max(0, min(z, rest - before))
+            before += z
+    assert {(null_first(r["doc_id"]), r["source"], r["size"]): r["taken"] for r in got} == want
+    for r in got:
+        assert abs(r["target"] - goal[r["source"]]) < 1e-6 and r["source_size"] == sizes[r["source"]] and r["taken"] <= 2 * r["size"]
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(0 <= goal[s] - taken[s] <= 1 for s in sizes)
+
+
+def test_no_words_at_all(spark):
+    got = mix(spark.createDataFrame([(1, "a", 0), (2, None, 0)], "doc_id long, source string, size long")).collect()
+    assert [(r["target"], r["taken"]) for r in got] == [(0.0, 0), (0.0, 0)]
+
+
+def test_copies_are_taken_and_the_last_is_cut(spark):
+    docs = spark.createDataFrame(
+        [(1, " a b\n c", "s"), (2, "x y", "s"), (2, "x y", "s"), (3, "gone", "s"), (None, "n", "s"), (4, None, "s")],
+        "doc_id long, text string, taken string",
+    )
+    plan = spark.createDataFrame([(1, " a b\n c", 3, 5), (2, "x y", 2, 2), (2, "x y", 2, 1), (3, "gone", 1, 0), (None, "n", 1, 1), (4, None, 0, 0)], "doc_id long, t string, size long, taken long")
+    got = take(docs, plan.withColumn("text_hash", F.xxhash64("t")))
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, " a b\n c"), (1, " a b"), (2, "x y"), (2, "x"), (None, "n")])
+
+
+def test_first_words(spark):
+    df = spark.createDataFrame([("a b  c d", 2), ("  a", 1), ("a\tb ", 2)], "t string, n long")
+    assert [r[0] for r in df.select(first_words(F.col("t"), F.col("n"))).collect()] == ["a b", "  a", "a\tb"]
