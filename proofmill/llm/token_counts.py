@@ -10,7 +10,7 @@ where a pre-token ends stores its count. The trie is kept from batch to batch an
 has ``max_nodes`` nodes, which bounds memory and changes no count. A pre-token longer than
 ``LONG`` characters is worked out alike, but not kept.
 
-Null and empty texts have no tokens. Repeated rows are counted alike.
+Scores are logarithms of probabilities, so below 0. Null and empty texts have no tokens. Repeated rows are counted alike.
 """
 
 from __future__ import annotations
@@ -54,64 +54,78 @@ def vocabulary(scores: dict[str, float]) -> Vocabulary:
 
 class Trie:
     def __init__(self, words: Vocabulary, max_nodes: int):
-        self.words, self.max_nodes = words, max_nodes
+        self.unknown, self.max_nodes = words.unknown, max_nodes
+        # every ending of a piece, with a score if it is a piece: a longer one is looked for only below these
+        self.endings: dict[str, float | None] = {p[k:]: None for p in words.scores for k in range(len(p))}
+        self.endings.update(words.scores)
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # by 2^21 times the parent's number and the character's code point
         self.best, self.tokens = [0.0], [0]  # of the prefix that ends at each node
         self.count: dict[str, int] = {}  # of each pre-token, taken from its terminal node
 
-    def extend(self, text: str, best: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Score and count of ``text`` from those of all its proper prefixes."""
-        scores, end = self.words.scores, len(text)
-        top, fewest = -math.inf, 0
-        for begin in range(max(0, end - self.words.longest), end):
-            score = scores.get(text[begin:])
+    def extend(self, text: str, end: int, best: list[float], tokens: list[int]) -> None:
+        """Append score and count of the prefix up to ``end`` to those of all shorter ones."""
+        endings, begin = self.endings, end - 1
+        score = endings.get(text[begin:end])
+        if score is None:
+            top = best[begin] + self.unknown
+            fewest = tokens[begin] + len(text[begin:end].encode("utf-8", "surrogatepass"))
+        else:
+            top, fewest = best[begin] + score, tokens[begin] + 1
+        while begin:
+            begin -= 1
+            score = endings.get(text[begin:end], 0)
             if score is None:
-                if begin != end - 1:
+                continue
+            if not score:  # no piece ends like this; logarithms of probabilities below 1 are never 0
+                break
+            total = best[begin] + score
+            if total > top or total == top and tokens[begin] + 1 < fewest:
+                top, fewest = total, tokens[begin] + 1
+        best.append(top)
+        tokens.append(fewest)
+
+    def add(self, words: list[str]) -> None:
+        """Insert words in order; what a word shares with the one before is already at hand."""
+        child, before = self.child, ""
+        path, best, tokens = [0], [0.0], [0]
+        for word in words:
+            text, keep = MARK + word, 0
+            for x, y in zip(text, before):
+                if x != y:
+                    break
+                keep += 1
+            del path[keep + 1 :], best[keep + 1 :], tokens[keep + 1 :]
+            for end in range(keep + 1, len(text) + 1):
+                if end > LONG:  # worked out, but not kept
+                    self.extend(text, end, best, tokens)
                     continue
-                score, more = self.words.unknown, len(text[begin:].encode("utf-8", "surrogatepass"))
-            else:
-                more = 1
-            total, number = best[begin] + score, tokens[begin] + more
-            if total > top or total == top and number < fewest:
-                top, fewest = total, number
-        return top, fewest
-
-    def add(self, word: str) -> None:
-        text = MARK + word
-        if len(text) > LONG:
-            best, tokens = [0.0], [0]
-            for end in range(1, len(text) + 1):
-                # the last ``longest`` characters are all that a piece can reach
-                at = max(0, end - self.words.longest)
-                b, t = self.extend(text[at:end], best[at:], tokens[at:])
-                best.append(b)
-                tokens.append(t)
+                key = (path[-1] << 21) | ord(text[end - 1])
+                node = child.get(key)
+                if node is None:
+                    node = child[key] = len(self.best)
+                    self.extend(text, end, best, tokens)
+                    self.best.append(best[-1])
+                    self.tokens.append(tokens[-1])
+                else:
+                    best.append(self.best[node])
+                    tokens.append(self.tokens[node])
+                path.append(node)
             self.count[word] = tokens[-1]
-            return
-        node, path = 0, [0]
-        for end in range(1, len(text) + 1):
-            key = (node, text[end - 1])
-            node = self.child.get(key, -1)
-            if node < 0:
-                node = self.child[key] = len(self.best)
-                b, t = self.extend(text[:end], [self.best[k] for k in path], [self.tokens[k] for k in path])
-                self.best.append(b)
-                self.tokens.append(t)
-            path.append(node)
-        self.count[word] = self.tokens[node]
+            before = text[:LONG]
 
     def counts(self, texts: list[list[str]]) -> list[int]:
         if len(self.best) > self.max_nodes or len(self.count) > self.max_nodes:
             self.clear()
-        for word in sorted(set().union(*texts) - self.count.keys()):
-            self.add(word)
+        words = sorted(set().union(*texts) - self.count.keys())
+        self.add(words)
         of = self.count.__getitem__
-        out = [sum(map(of, words)) for words in texts]
-        for word in [w for w in set().union(*texts) if len(w) >= LONG]:
-            del self.count[word]
+        out = [sum(map(of, found)) for found in texts]
+        for word in words:
+            if len(word) >= LONG:
+                del self.count[word]
         return out
 
 
