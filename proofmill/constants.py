@@ -46,11 +46,3 @@ META_COLUMNS = (
     "project", "bug_num", "test_name", "exception_bug", "assertion_bug",
     "exception_lbl", "assertion_lbl", "assert_err",
 )
-
-# Reasons a file, method or split is turned away.
-REASONS = (
-    "unable_to_parse_test", "file_name_not_matched", "cannot_find_focal_unit_file",
-    "err_parse_test_file", "err_parse_focal_file", "unexpected_class_structure",
-    "test_name_not_matched", "no_split_tests", "length_mismatch", "no_assertion",
-    "test_name_not_matched_in_split",
-)

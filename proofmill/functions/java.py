@@ -12,19 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofmill import constants as C
-from proofmill.functions.text import let, strip
-
-# Possessive loops: they neither backtrack nor grow the stack on long literals.
-_OPAQUE = (
-    r'"(?:[^"\\\n]|\\.)*+"'
-    r"|'(?:[^'\\\n]|\\.)++'"
-    r"|//[^\n]*+"
-    r"|/\*(?s:.*?)(?:\*/|\z)"
-)
-_PIECES = _OPAQUE + r"|[^\"'/]++|[\"'/]"
+from proofmill.functions.text import OPAQUE, PIECES, let, strip
+
 # Everything up to and with the next brace that is code.  The anchor keeps a text
 # without further braces from being tried again at every character.
-_TO_BRACE = r"\G(?:[^{}\"'/]++|" + _OPAQUE + r"|[\"'/])*+[{}]"
+_TO_BRACE = r"\G(?:[^{}\"'/]++|" + OPAQUE + r"|[\"'/])*+[{}]"
 _TYPE = r"\b(?:class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
 _PARAMS = r"\((?:[^()]|\([^()]*+\))*+\)"
 _SIGNATURE = (
@@ -37,7 +29,11 @@ _LEAD = (
 )
 _BARE_NAME = r"^(?:<[^<>]*>\s*)?([A-Za-z_$][\w$]*)\s*\("
 _DOC = r"/\*\*(?!/)(?s:.*?)\*/"
-_CALL = r"(?<!super\.)\b([A-Za-z_$][\w$]*)\s*\("
+# A call or a creation, not the head of a method that an anonymous class declares.
+_CALL = (
+    r"(?<!super\.)\b([A-Za-z_$][\w$]*)\s*\("
+    r"(?:(?<=\bnew [\w$]{1,250}\()|(?![^()]*\)\s*(?:throws\s[^(){};]*)?\{))"
+)
 _NOT_CALLS = (
     "if", "for", "while", "switch", "catch", "synchronized", "return", "super", "this",
     "try", "throw", "case", "new", "else", "do",
@@ -45,7 +41,7 @@ _NOT_CALLS = (
 
 def blank_literals(code: Column) -> Column:
     """Blank strings, character literals and comments, keeping length and line ends."""
-    pieces = F.regexp_extract_all(code, F.lit(_PIECES), F.lit(0))
+    pieces = F.regexp_extract_all(code, F.lit(PIECES), F.lit(0))
     return F.array_join(
         F.transform(
             pieces,
@@ -64,18 +60,25 @@ def _after_newline(text: Column) -> Column:
     return F.length(F.substring_index(text, "\n", -1))
 
 
-_EVENTS = "array<struct<turn:int,depth:int,seg:string,pos:int,line:int>>"
+def _column_after(column: Column, text: Column) -> Column:
+    """Characters since the last line end, after ``text`` that began at ``column``."""
+    return F.when(text.contains("\n"), _after_newline(text)).otherwise(column + F.length(text))
+
+
+_EVENTS = "array<struct<turn:int,depth:int,seg:string,pos:int,line:int,col:int>>"
+# Segments that are folded into one array: appending copies the array, so it has to stay short.
+_BLOCK = 128
 
 
 def _step(acc: Column, seg: Column) -> Column:
     opens = seg.endswith("{")
     event = F.struct(
         F.when(opens, 1).otherwise(-1).alias("turn"), acc["depth"].alias("depth"),
-        seg.alias("seg"), acc["pos"].alias("pos"), acc["line"].alias("line"),
+        seg.alias("seg"), acc["pos"].alias("pos"), acc["line"].alias("line"), acc["col"].alias("col"),
     )
     return F.struct(
         (acc["pos"] + F.length(seg)).alias("pos"),
-        (acc["line"] + _newlines(seg)).alias("line"),
+        (acc["line"] + _newlines(seg)).alias("line"), _column_after(acc["col"], seg).alias("col"),
         F.when(acc["depth"] < 0, acc["depth"]).when(opens, acc["depth"] + 1)
         .otherwise(acc["depth"] - 1).alias("depth"),
         F.when(
@@ -89,12 +92,39 @@ def read_structure(code: Column) -> Column:
 
     An event is a brace at file or type level: its direction, the depth before
     it, the text since the brace before, and where that text starts.  A depth
-    that fell below zero stays there.
+    that fell below zero stays there.  Segments are folded block by block, so
+    the work grows in proportion to the text.
     """
+    none = F.array().cast(_EVENTS)
+
+    def fold(acc: Column, block: Column) -> Column:
+        begin = F.struct(acc["pos"], acc["line"], acc["col"], acc["depth"], none.alias("events"))
+        return let(
+            F.aggregate(block, begin, _step),
+            lambda end: F.struct(
+                end["pos"].alias("pos"), end["line"].alias("line"), end["col"].alias("col"),
+                end["depth"].alias("depth"), F.concat(acc["blocks"], F.array(end["events"])).alias("blocks"),
+            ),
+        )
+
+    def blocks_of(segments: Column) -> Column:
+        last = F.floor((F.size(segments) - 1) / _BLOCK).cast("int")
+        return F.when(
+            F.size(segments) > 0,
+            F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(segments, b * _BLOCK + 1, F.lit(_BLOCK))),
+        ).otherwise(F.array().cast("array<array<string>>"))
+
     zero = F.expr(
-        "named_struct('pos', 0, 'line', 1, 'depth', 0, 'events', array())"
-    ).cast(f"struct<pos:int,line:int,depth:int,events:{_EVENTS}>")
-    return F.aggregate(F.regexp_extract_all(code, F.lit(_TO_BRACE), F.lit(0)), zero, _step)
+        "named_struct('pos', 0, 'line', 1, 'col', 0, 'depth', 0, 'blocks', array())"
+    ).cast(f"struct<pos:int,line:int,col:int,depth:int,blocks:array<{_EVENTS}>>")
+    segments = F.regexp_extract_all(code, F.lit(_TO_BRACE), F.lit(0))
+    return let(
+        F.aggregate(let(segments, blocks_of), zero, fold),
+        lambda end: F.struct(
+            end["pos"].alias("pos"), end["line"].alias("line"), end["depth"].alias("depth"),
+            F.flatten(end["blocks"]).alias("events"),
+        ),
+    )
 
 
 def first_type(structure: Column) -> Column:
@@ -177,6 +207,7 @@ def _declarations(events: Column) -> Column:
                         F.substring(x["e"]["seg"], F.length(above) + 1, F.length(piece)).alias("raw"),
                         (x["e"]["pos"] + F.length(above)).alias("pos"),
                         (x["e"]["line"] + _newlines(above)).alias("line"),
+                        _column_after(x["e"]["col"], above).alias("col"),
                         F.when(body, x["close"])
                         .otherwise(x["e"]["pos"] + F.length(above) + F.length(piece) - 1)
                         .alias("close"),
@@ -200,21 +231,22 @@ def members(code: Column, structure: Column, kind: Column) -> Column:
     """Methods of the first type in text order, each with lines, text and doc comment.
 
     Written as a row of small transforms, so that each regular expression runs
-    once per member and only on members that are still in the running.
+    once per member and only on members that are still in the running.  A
+    member begins with its line, so its text is cut from its own lines.
     """
     return let(
         F.struct(
-            code.alias("code"), type_name(kind).alias("class_name"),
+            F.split(code, "\n", -1).alias("lines"), type_name(kind).alias("class_name"),
             F.slice(
                 structure["events"], kind["at"] + 2,
                 F.coalesce(kind["end"], F.size(structure["events"])) - kind["at"],
             ).alias("events"),
         ),
-        lambda x: _members(x["code"], x["class_name"], x["events"]),
+        lambda x: _members(x["lines"], x["class_name"], x["events"]),
     )
 
 
-def _members(code: Column, class_name: Column, events: Column) -> Column:
+def _members(lines: Column, class_name: Column, events: Column) -> Column:
     def signature(e: Column) -> Column:
         return F.struct(
             e.alias("e"), F.regexp_extract(e["head"], _SIGNATURE, 1).alias("name"),
@@ -238,9 +270,7 @@ def _members(code: Column, class_name: Column, events: Column) -> Column:
     def place(m: Column) -> Column:
         start = F.when(
             m["breaks"] > 0, m["e"]["pos"] + F.length(m["lead"]) - _after_newline(m["lead"])
-        ).otherwise(
-            m["e"]["pos"] - _after_newline(F.substring(code, F.lit(1), m["e"]["pos"]))
-        )
+        ).otherwise(m["e"]["pos"] - m["e"]["col"])
         gap = F.substring(
             m["e"]["raw"], F.lit(1), F.length(F.regexp_extract(m["e"]["head"], r"^\s*+", 0))
         )
@@ -248,12 +278,14 @@ def _members(code: Column, class_name: Column, events: Column) -> Column:
 
     def describe(p: Column) -> Column:
         m, start = p["m"], p["start"]
+        first = m["e"]["line"] + m["breaks"]
+        own = F.array_join(F.slice(lines, first, m["e"]["end_n"] - first + 1), "\n")
         return F.struct(
             m["name"].alias("method_name"),
             (m["bare"] == class_name).alias("is_ctor"),
             (m["e"]["line"] + m["breaks"]).alias("start_n"),
             m["e"]["end_n"].alias("end_n"),
-            F.substring(code, start + 1, m["e"]["close"] + 1 - start).alias("text"),
+            F.substring(own, F.lit(1), m["e"]["close"] + 1 - start).alias("text"),
             F.try_element_at(F.regexp_extract_all(p["gap"], F.lit(_DOC), F.lit(0)), F.lit(-1))
             .alias("docstring"),
         )
@@ -287,7 +319,8 @@ def braces_balance(blanked: Column) -> Column:
 def call_names(blanked_method: Column) -> Column:
     """Names called or created in the body of a blanked method, in text order."""
     body = F.regexp_replace(blanked_method, r"^[^{]*+\{?", "")
-    plain = F.regexp_replace(body, r"(\bnew\s+[\w$.]+)\s*<[^()]*?>\s*\(", "$1(")
+    # ``new a.B<C>(`` creates by the head of the type, as the other calls go by their first name
+    plain = F.regexp_replace(body, r"\bnew\s+([\w$]+)[\w$.]*+\s*(?:<[^()]*?>\s*)?\(", "new $1(")
     names = F.regexp_extract_all(plain, F.lit(_CALL), F.lit(1))
     return F.filter(
         names,

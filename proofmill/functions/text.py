@@ -33,6 +33,21 @@ TOKEN = "|".join(TOKEN_BRANCHES).replace("{p}", "+")
 BAD_TOKEN = r"""^(?:["'#`\\]|[^\x00-\x7F\p{L}].*|[\x00-\x08\x0E-\x1F\x7F])$"""
 
 
+# Possessive loops: they neither backtrack nor grow the stack on long literals.
+OPAQUE = (
+    r'"(?:[^"\\\n]|\\.)*+"'
+    r"|'(?:[^'\\\n]|\\.)++'"
+    r"|//[^\n]*+"
+    r"|/\*(?s:.*?)(?:\*/|\z)"
+)
+PIECES = OPAQUE + r"|[^\"'/]++|[\"'/]"
+
+
+def lies_in(path: Column, folder: str) -> Column:
+    """Whether a path is project/folder/..., not only somewhere below."""
+    return F.startswith(F.substring(path, F.instr(path, "/"), F.length(path)), F.lit(f"/{folder}/"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Work ``value`` out once and use it several times inside an expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -89,8 +104,13 @@ def strip_semicolon_run(assertion: Column) -> Column:
 
 
 def line_comments_out(code: Column) -> Column:
-    """Drop ``//`` comments that start a line or follow white space."""
-    return F.regexp_replace(code, r"(?m)(^|\s)//[^\n]*", "$1")
+    """Blank ``//`` comments outside literals and block comments; every other character keeps its place."""
+    pieces = F.regexp_extract_all(code, F.lit(PIECES), F.lit(0))
+    return F.array_join(
+        F.transform(
+            pieces, lambda p: F.when(p.startswith("//"), F.repeat(F.lit(" "), F.length(p))).otherwise(p)
+        ), ""
+    )
 
 
 def first_assertion(code: Column, skip_comments: bool = False) -> Column:
@@ -113,9 +133,13 @@ def before(text: Column, part: Column) -> Column:
     return F.substring(text, F.lit(1), F.instr(text, part) - 1)
 
 
-def prefix_lines(code: Column, assertion: Column) -> Column:
-    """Stripped lines above the line that holds ``assertion``, joined by a blank."""
-    lines = F.split(before(code, assertion), "\n", -1)
+def prefix_lines(code: Column, assertion: Column, searched: Column | None = None) -> Column:
+    """Stripped lines above the line that holds ``assertion``, joined by a blank.
+
+    ``searched`` is the text to look in if it is not the code itself, of the same length.
+    """
+    at = F.instr(code if searched is None else searched, assertion)
+    lines = F.split(F.substring(code, F.lit(1), at - 1), "\n", -1)
     above = F.slice(lines, F.lit(1), F.size(lines) - 1)
     return F.array_join(F.transform(above, strip), " ")
 

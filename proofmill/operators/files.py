@@ -48,13 +48,13 @@ def project_id(project: Column) -> Column:
 
 def test_file_rows(files: DataFrame, suffix: str = C.TEST_SUFFIX) -> DataFrame:
     return files.filter(
-        F.col("path").contains(f"/{C.TEST_DIR}/") & F.col("path").endswith(f"{suffix}.java")
+        text.lies_in(F.col("path"), C.TEST_DIR) & F.col("path").endswith(f"{suffix}.java")
     )
 
 
 def source_file_rows(files: DataFrame) -> DataFrame:
     return files.filter(
-        F.col("path").contains(f"/{C.SOURCE_DIR}/") & F.col("path").endswith(".java")
+        text.lies_in(F.col("path"), C.SOURCE_DIR) & F.col("path").endswith(".java")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions import text
@@ -37,18 +37,22 @@ def section_distances(sections: DataFrame) -> DataFrame:
     """Edit distances within each case: prefixes and assertions, machine against hand-written.
 
     The sections of a case are few and named, so a conditional aggregate lines
-    them up in one shuffle.
+    them up in one shuffle.  Sections that a case has several times are lined up
+    first with first, second with second; ``turn`` counts them from 1.
     """
+    same = Window.partitionBy("bug_project", "bug_id", "section").orderBy("seq", "body")
+    sections = sections.withColumn("turn", F.row_number().over(same))
+
     def body(name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("section") == name, F.col("body"))), F.lit(""))
 
-    lined = sections.groupBy("bug_project", "bug_id").agg(
+    lined = sections.groupBy("bug_project", "bug_id", "turn").agg(
         body("evosuite_prefix").alias("ep"), body("regression_oracle").alias("ro"),
         body("dev_prefix").alias("dp"), body("dev_assertion").alias("da"),
         body("true_assertion").alias("ta"),
     )
     return lined.select(
-        "bug_project", "bug_id",
+        "bug_project", "bug_id", "turn",
         F.levenshtein("ep", "dp").alias("prefix_distance"),
         F.levenshtein("ro", "da").alias("assertion_distance"),
         F.levenshtein("ro", "ta").alias("oracle_distance"),

@@ -32,10 +32,11 @@ def outcome_diff(outcomes: DataFrame) -> DataFrame:
 def apply_oracles(tests: DataFrame, replacements: DataFrame, keys: list[str]) -> DataFrame:
     """Put a supplied assertion in place of the old one, in the column and in the test text.
 
-    tests carries text and assertion; replacements carries keys and new_assertion,
-    one row per key.
+    tests carries text and assertion; replacements carries keys and new_assertion.
+    Of several replacements for one key the least, as text, counts.
     """
-    joined = tests.join(replacements, keys, "left")
+    given = replacements.groupBy(*keys).agg(F.min("new_assertion").alias("new_assertion"))
+    joined = tests.join(given, keys, "left")
     return joined.select(
         *keys,
         F.coalesce("new_assertion", "assertion").alias("assertion"),

@@ -234,7 +234,7 @@ _CHAIN = """
   UNION ALL
   SELECT up.project, up.path, up.fqn, up.c, depth + 1, cu.p
   FROM up JOIN cu ON cu.c = up.cur
-  WHERE cu.imports_base AND cu.extends_base AND (cu.p % 30) <> 9
+  WHERE cu.imports_base AND cu.extends_base
 )
 , class_chain AS (
   SELECT project, path, fqn AS class_fqn, depth, concat('org.base.Base', cur) AS ancestor_fqn,
@@ -319,12 +319,12 @@ WHERE {_USABLE_A} AND m IN (0, 3, 4)
 
 _DOC_FILES = """
 WITH files AS (
-  SELECT doc_id // 3 AS project_id, CASE doc_id % 3 WHEN 0 THEN 'assert' ELSE 'prefix_focal' END AS half,
+  SELECT doc_id // 2 AS project_id, CASE doc_id % 2 WHEN 0 THEN 'assert' ELSE 'prefix_focal' END AS half,
     regexp_replace(text, '\\n\\z', '') AS content
-  FROM documents WHERE doc_id % 3 <> 2 AND text <> ''
+  FROM documents WHERE text <> ''
 ),
 lines AS (
-  SELECT CAST(project_id AS INT) AS project_id, half, CAST(i AS INT) AS line_no,
+  SELECT project_id, half, CAST(i AS INT) AS line_no,
     string_split(content, chr(10))[i] AS line
   FROM files, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS u(i)
 )
@@ -464,14 +464,16 @@ SELECT conv_id, count(assertion) AS n_assertions, count(prefix_focal) AS n_prefi
 FROM l FULL JOIN r USING (conv_id, line_no) GROUP BY 1""",
     "retrieve_nearest": _NEAREST,
     "outcome_diff": """
-WITH o AS (SELECT event_id // 2 AS test, event_id % 2 = 0 AS buggy, event_type <> 'error' AS passed FROM events WHERE event_id % 17 <> 0),
-b AS (SELECT test, passed AS on_buggy FROM o WHERE buggy), x AS (SELECT test, passed AS on_fixed FROM o WHERE NOT buggy)
-SELECT concat('Math-', test % 106) AS bug, concat('test', test) AS test, on_buggy, on_fixed,
+WITH o AS (
+  SELECT event_id // 2 % 106 AS bug, CASE WHEN event_id % 17 = 0 THEN concat('Only', event_id) ELSE concat('test', event_id // 2) END AS test,
+    event_id % 2 = 0 AS buggy, event_type <> 'error' AS passed FROM events
+), b AS (SELECT bug, test, passed AS on_buggy FROM o WHERE buggy), x AS (SELECT bug, test, passed AS on_fixed FROM o WHERE NOT buggy)
+SELECT concat('Math-', bug) AS bug, test, on_buggy, on_fixed,
   CASE WHEN on_buggy IS NULL THEN 'only_fixed' WHEN on_fixed IS NULL THEN 'only_buggy'
     WHEN on_buggy AND on_fixed THEN 'passes_both' WHEN on_buggy THEN 'passes_then_fails'
     WHEN on_fixed THEN 'fails_then_passes' ELSE 'fails_both' END AS outcome,
   coalesce(on_buggy <> on_fixed, false) AS differs
-FROM b FULL JOIN x USING (test)""",
+FROM b FULL JOIN x USING (bug, test)""",
     "apply_oracles": FACTS + f"""
 SELECT test_path AS path, j AS ordinal, CASE WHEN given THEN fresh ELSE old END AS assertion, given AS replaced,
   CASE WHEN given THEN replace(body, old, fresh) ELSE body END AS text
@@ -517,7 +519,7 @@ SELECT test_path AS path, j AS ordinal,
 FROM t WHERE test_ok""",
     "oracle_edit_distance": f"""
 SELECT 'math' AS bug_project, k AS bug_id,
-  CAST(levenshtein({S.template(_SECTIONS[0][1])}, {S.template(_SECTIONS[2][1])}) AS INT) AS prefix_distance,
+  CAST(levenshtein({S.template(_SECTIONS[0][1])}, {S.template(_SECTIONS[2][1])}) AS INT) AS prefix_distance, CAST(1 AS INT) AS turn,
   CAST(levenshtein({S.template(_SECTIONS[1][1])}, {S.template(_SECTIONS[3][1])}) AS INT) AS assertion_distance,
   CAST(levenshtein({S.template(_SECTIONS[1][1])}, {S.template(_SECTIONS[4][1])}) AS INT) AS oracle_distance
 FROM ({_CASES})""",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,36 +28,42 @@ def build_session(app: str = "proofmill", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
+    """Folder for intermediate tables, one below it for each application.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting, such as a local test, gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
+    without that setting gets a folder of its own, removed at exit; elsewhere
+    each executor would write to its own disk, so the job stops.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if folder is None and current.isDefined():
-        folder = current.get()
+    if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder that the driver and all executors share"
+        )
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="proofmill-")
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="proofmill-")
+            atexit.register(shutil.rmtree, _OWN[context.applicationId], ignore_errors=True)
+        folder = _OWN[context.applicationId]
+    return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has written to yet."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for row-local work on a table with fewer splits than cores.
+def spread(keys: DataFrame) -> DataFrame:
+    """Deal narrow key rows over the shuffle partitions, whatever their number.
 
-    A table with enough splits is returned as it is, so large inputs pay no
-    shuffle.
+    For rows that much larger text is made from: the shuffle of the keys is
+    small against that work.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def written_once(df: DataFrame, name: str) -> DataFrame:

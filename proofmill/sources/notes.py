@@ -50,7 +50,7 @@ def case_sections(notes: DataFrame) -> DataFrame:
     named = F.create_map(*[F.lit(x) for pair in SECTION_HEADERS.items() for x in pair])
     return notes.select(
         F.regexp_extract("content", _CASE, 1).alias("bug_project"),
-        F.regexp_extract("content", _CASE, 2).cast("bigint").alias("bug_id"),
+        F.regexp_extract("content", _CASE, 2).try_cast("bigint").alias("bug_id"),
         cut.alias("cut"),
     ).transform(exploded, F.col("cut"), "x").select(
         "bug_project", "bug_id",
@@ -72,7 +72,7 @@ def bad_prefixes(notes: DataFrame) -> DataFrame:
         exploded(notes, cut, "x")
         .select(
             F.regexp_extract("x.head", _CASE, 1).alias("bug_project"),
-            F.regexp_extract("x.head", _CASE, 2).cast("bigint").alias("bug_id"),
+            F.regexp_extract("x.head", _CASE, 2).try_cast("bigint").alias("bug_id"),
             F.explode(F.split(F.array_join(tried, ","), ",")).alias("no"),
         )
         .select("bug_project", "bug_id", strip(F.col("no")).try_cast("int").alias("test_no"))

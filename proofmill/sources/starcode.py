@@ -41,7 +41,7 @@ ORDER_COLUMNS = {
     " ELSE concat('C', k, 'EvoSuiteTest.java') END",
     "test_path": "concat(project, '/evosuite-tests/', folder, test_file)",
     "src_path": "concat(project, '/src/main/java/', folder, 'C', k, '.java')",
-    "has_source": "k % 10 <> 0",
+    "has_source": "true",
     "test_ok": "k % 37 <> 6",
     "src_ok": "k % 41 <> 9",
     "two_classes": "k % 31 = 4",
@@ -58,7 +58,7 @@ CUSTOMER_COLUMNS = {
     "e": "c % 3",
     "u": "c % 11",
     "src_path": "concat(project, '/src/main/java/org/base/Base', c, '.java')",
-    "has_source": "q <> 9",
+    "has_source": "true",
     "extends_base": "q > 0",
     "imports_base": "q > 0 AND q % 5 <> 4",
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill import constants as C
+from proofmill.functions.text import lies_in
 
 
 def _whole(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -20,9 +24,15 @@ def _whole(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def _below(file: Column, root: str) -> Column:
-    """Path below the root folder."""
-    tail = root.rstrip("/").rsplit("/", 1)[-1]
-    return F.substring_index(file, f"/{tail}/", -1) if tail else file
+    """Path below the root folder: the file's path less the root's, whatever comes again below."""
+    plain = re.sub(r"^[a-zA-Z][\w+.-]*:(?://[^/]*)?", "", root)
+    whole = (os.path.abspath(plain) if plain == root else plain).rstrip("/") + "/"
+    # A relative root of another file system: its own name, where it comes first.
+    tail = "/" + plain.strip("/") + "/"
+    at = F.instr(file, whole)
+    return F.when(at > 0, F.substring(file, at + len(whole), F.length(file))).otherwise(
+        F.substring(file, F.instr(file, tail) + len(tail), F.length(file))
+    )
 
 
 def scan_project_tree(spark: SparkSession, root: str, suffix: str = C.TEST_SUFFIX) -> DataFrame:
@@ -33,8 +43,8 @@ def scan_project_tree(spark: SparkSession, root: str, suffix: str = C.TEST_SUFFI
     """
     files = _whole(spark, root, "*.java").withColumn("path", _below(F.col("file"), root))
     kind = F.when(
-        F.col("path").contains(f"/{C.TEST_DIR}/") & F.col("path").endswith(f"{suffix}.java"), "test"
-    ).when(F.col("path").contains(f"/{C.SOURCE_DIR}/"), "src")
+        lies_in(F.col("path"), C.TEST_DIR) & F.col("path").endswith(f"{suffix}.java"), "test"
+    ).when(lies_in(F.col("path"), C.SOURCE_DIR), "src")
     return files.select(
         F.substring_index("path", "/", 1).alias("project"), "path", kind.alias("kind"), "content"
     ).filter("kind IS NOT NULL")
@@ -54,7 +64,7 @@ def corpus_file_lines(files: DataFrame) -> DataFrame:
         files.withColumn("half", half)
         .filter("half IS NOT NULL AND content <> ''")
         .select(
-            F.split_part("file_name", F.lit("_"), F.lit(1)).cast("int").alias("project_id"),
+            F.split_part("file_name", F.lit("_"), F.lit(1)).try_cast("bigint").alias("project_id"),
             "half", F.posexplode(lines).alias("i", "line"),
         )
         .select("project_id", "half", (F.col("i") + 1).alias("line_no"), "line")
