@@ -10,8 +10,9 @@ Two documents link when their sets of five-word shingles have a Jaccard similari
    first n - ceil(0.75 n) + 1 shingles of a set need listing, in any order that all sets keep: shingles
    seen to be frequent come last, in order of frequency, so lists stay short.
 4. A list is scanned for its first member (the one with the fewest shingles before this one) and links of others to
-   it; candidates are verified on whole sets. What a component already holds together needs no more
-   pairs. Lists that still hold several components are scanned for pairs across them, which are verified.
+   it. Candidates pass a bitmap each set has: where two bitmaps differ in more places than the sets may
+   differ in shingles, they cannot link. The rest is verified on whole sets. What a component already holds
+   together needs no more pairs. Lists that still hold several components are scanned for pairs across them, which are verified.
 
 The boundary is where the cost of enumerating, the number of subsets, passes that of listing, the number of
 listed shingles times the price of a listing with its share of verification.
@@ -48,6 +49,8 @@ FREQUENT, OFTEN = 100_000, 16
 COUNTED, PASSED_ON = 3_000_000, 4
 #: Price of a listed shingle in enumerated subsets; sizes that may be small.
 LISTING, SMALL_SIZES = 4, 12
+#: Bits of a set's bitmap: each is the parity of the shingles that fall to it.
+BITMAP = 2048
 #: Bits of the filter of documents whose sets are asked for, as a power of two, at most.
 FILTER_BITS = 28
 
@@ -82,8 +85,13 @@ def identity(shingles: np.ndarray) -> int:
     return int(mixed(mixed(shingles).sum(keepdims=True) + size).view(np.int64)[0])
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    at = (shingles & np.uint64(BITMAP - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=BITMAP) & 1).tobytes()
+
+
 def read_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, sid, n`` of each text (no sid without words); where ``doc`` is false, a shingle as sid and its count in a task."""
+    """``doc_id, sid, n, bits`` of each text (no sid without words); where ``doc`` is false, a shingle as sid and its count in a task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -91,17 +99,18 @@ def read_sets(docs: DataFrame) -> DataFrame:
         def counts() -> pa.RecordBatch:
             shingle, count = np.unique(np.concatenate(held), return_counts=True)
             shingle, count = shingle[count >= PASSED_ON], count[count >= PASSED_ON]
-            return rows([False] * len(shingle), [None] * len(shingle), shingle.view(np.int64), count)
+            none = [None] * len(shingle)
+            return rows([False] * len(shingle), none, shingle.view(np.int64), count, none)
 
         def rows(*columns) -> pa.RecordBatch:
-            types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "doc_id", "sid", "n"])
+            types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "doc_id", "sid", "n", "bits"])
 
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for first, run in steps(batch.column(1).to_pylist()):
                 for k, s in enumerate(shingle_sets(run)):
-                    out.append((ids[first + k], identity(s) if len(s) else None, len(s)))
+                    out.append((ids[first + k], identity(s) if len(s) else None, len(s), bitmap(s)))
                     if len(s):
                         held.append(s)
                         size += len(s)
@@ -113,7 +122,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
         if held:
             yield counts()
 
-    return docs.mapInArrow(scan, "doc boolean, doc_id long, sid long, n long")
+    return docs.mapInArrow(scan, "doc boolean, doc_id long, sid long, n long, bits binary")
 
 
 def list_sets(docs: DataFrame, frequent: dict[str, np.ndarray], small: int, percent: int) -> DataFrame:
@@ -167,7 +176,7 @@ def list_sets(docs: DataFrame, frequent: dict[str, np.ndarray], small: int, perc
 
 
 def whole_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``sid, set`` (packed hashes) for the documents of ``doc_id, sid``.
+    """``sid, set`` (packed hashes) for the documents of ``doc_id, sid``; a repeated document comes as often.
 
     A bitmap of at most 2^FILTER_BITS bits, from checksums of ids, lets the scan pass over most other
     documents; the join makes it exact.
@@ -191,15 +200,41 @@ def whole_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
             if not len(rows):
                 continue
             part = batch.take(pa.array(rows))
-            sets = [s.tobytes() for _, run in steps(part.column(1).to_pylist()) for s in shingle_sets(run)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+            sets = [s for _, run in steps(part.column(1).to_pylist()) for s in shingle_sets(run)]
+            sids = pa.array([identity(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), sids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sid", "set"])
+
+    found = docs.filter("doc_id IS NOT NULL").mapInArrow(scan, "doc_id long, sid long, set binary")
+    return found.join(asked, ["doc_id", "sid"]).select("sid", "set")
+
+
+def both_ends(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with the columns of ``sid, ...`` for either end, named after it."""
+    for end in "ab":
+        pairs = pairs.join(of.select(*[F.col(c).alias(end if c == "sid" else f"{c}_{end}") for c in of.columns]), end)
+    return pairs
 
-    found = docs.filter("doc_id IS NOT NULL").mapInArrow(scan, "doc_id long, set binary")
-    return found.join(asked, "doc_id").select("sid", "set").dropDuplicates(["sid"])
 
+def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps allow a link."""
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        both = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (x, y)]
+        differ = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+        size = n.to_numpy() + m.to_numpy()
+        need = -(-percent * size // (100 + percent))
+        return pa.array(differ <= size - 2 * need)
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    of = facts.select("sid", "n", "bits").join(ends, "sid").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    return both_ends(pairs, of).filter(near("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, keepers: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that link."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sets = written_once(whole_sets(docs, written_once(ends.join(keepers, "sid"), "asked")), "whole")
 
     @F.arrow_udf("boolean")
     def link(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -210,11 +245,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append((100 + percent) * both >= percent * (len(a) + len(b)))
         return pa.array(out)
 
-    joined = (
-        pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b")
-    )
-    return joined.filter(link("x", "y")).select("a", "b")
+    return both_ends(pairs, sets).filter(link("set_a", "set_b")).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -259,9 +290,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     stars = written_once(stars.filter(may).select(F.least("sid", "h.sid").alias("a"), F.greatest("sid", "h.sid").alias("b")).distinct(), "stars")
 
     keepers = facts.filter("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    asked = written_once(scanned.select("sid").distinct().join(keepers, "sid"), "asked")
-    sets = written_once(whole_sets(docs, asked), "whole")
-    links = written_once(sure.unionByName(verified(stars, sets, percent)), "links")
+    likely = written_once(possible(stars, facts, percent), "likely")
+    links = written_once(sure.unionByName(verified(likely, docs, keepers, percent)), "links")
     labels = components(links)
 
     # what is left: lists that still hold several components
@@ -273,9 +303,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         (F.col("label_a") != F.col("label_b")) & (F.col("sid_a") < F.col("sid_b")) & (F.greatest("n_a", "n_b") > small)
         & enough(F.least("e_a", "e_b"), "n_a", "n_b")
     ).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    across = written_once(across, "across")
+    across = written_once(possible(across, facts, percent), "across")
     if not across.isEmpty():
-        more = verified(across, sets, percent)
+        more = verified(across, docs, keepers, percent)
         labels = components(links.unionByName(more))
 
     named = keepers.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
