@@ -47,8 +47,10 @@ class Lists:
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], np.ascontiguousarray(vectors[by_id])
         columns = np.ascontiguousarray(self.vectors.T)
-        self.order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(columns, self.order, axis=1)
+        up = np.argsort(columns, axis=1, kind="stable")
+        values = np.take_along_axis(columns, up, axis=1)
+        self.up = list(zip(up, values))
+        self.down = list(zip(np.ascontiguousarray(up[:, ::-1]), np.ascontiguousarray(values[:, ::-1])))
 
     def top(self, own: int, query: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, by score and then id; those below ``floor`` may be missing."""
@@ -57,8 +59,7 @@ class Lists:
         k = min(k, int(alive.sum()))
         if not k:
             return self.ids[:0], self.ids[:0]
-        # each list from its best end, as views: no list is turned round in memory
-        lists = [(self.order[d], self.sorted[d]) if query[d] < 0 else (self.order[d][::-1], self.sorted[d][::-1]) for d in dims]
+        lists = [self.up[d] if query[d] < 0 else self.down[d] for d in dims]  # each from its best end
         weight = query[dims]
         least = np.array([values[-1] for _, values in lists], np.int64)
         lower = np.full(n, (least * weight).sum())
@@ -76,8 +77,9 @@ class Lists:
             gap = np.empty(len(lists), np.float32)
             for j, (rows, values) in enumerate(lists):
                 rows, values = rows[depth:upto], values[depth:upto]
-                lower[rows] += (values - least[j]) * weight[j]  # a list has each candidate once
-                unread[j, rows] = 0
+                # a list has each candidate once
+                lower[rows] += (values - least[j]) * weight[j]
+                unread[j][rows] = 0
                 gap[j] = (values[-1] - least[j]) * weight[j]
             depth = upto
             worst = np.partition(lower[left], len(left) - k)[len(left) - k]
