@@ -17,6 +17,15 @@ from proofmill.functions import text
 from proofmill.session import written_once
 
 SEED_TOKENS = 2
+BUCKETS = 16
+
+
+def _bucket(corpus_id: Column) -> Column:
+    return F.pmod(F.xxhash64(corpus_id), F.lit(BUCKETS)).cast("int")
+
+
+def _in_every_bucket(tokens: DataFrame) -> DataFrame:
+    return tokens.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
 
 
 def token_set(column: Column) -> Column:
@@ -58,14 +67,21 @@ def _best(pairs: DataFrame) -> DataFrame:
 def retrieve_nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """queries(query_id, text) × corpus(corpus_id, text) → the best hit of each query.
 
-    A query that shares no token with any document has no hit.
+    A query that shares no token with any document has a row without a hit.
+    Only tokens that some query holds are listed, and the lists are written
+    once.  A list is dealt over ``BUCKETS`` tasks by document, so a token that
+    every document and every query holds does not fall to one of them.
     """
     docs = written_once(
         corpus.select("corpus_id", token_set(F.col("text")).alias("tokens")), "corpus-tokens"
     )
     asked = queries.select("query_id", token_set(F.col("text")).alias("tokens"))
-    postings = docs.select(
-        "corpus_id", F.size("tokens").alias("nd"), F.explode("tokens").alias("token")
+    vocabulary = asked.select(F.explode("tokens").alias("token")).distinct()
+    postings = written_once(
+        docs.select("corpus_id", F.size("tokens").alias("nd"), F.explode("tokens").alias("token"))
+        .withColumn("bucket", _bucket(F.col("corpus_id")))
+        .join(_in_every_bucket(vocabulary), ["token", "bucket"]),
+        "postings",
     )
     # Counted before any join: the count combines on the map side, so a token
     # found in every document costs one row per task.
@@ -89,7 +105,8 @@ def retrieve_nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     seeded = _best(
         _exact(
-            postings.join(seeds, "token").select("query_id", "corpus_id").distinct(), ranked, docs
+            postings.join(_in_every_bucket(seeds), ["token", "bucket"])
+            .select("query_id", "corpus_id").distinct(), ranked, docs
         )
     ).select("query_id", F.col("n_common").alias("bc"), F.col("n_union").alias("bu"))
 
@@ -108,6 +125,7 @@ def retrieve_nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         & (F.col("bc") * F.col("nq") <= F.col("bu") * F.col("nd"))
     )
     candidates = (
-        postings.join(probes, "token").filter(fits).select("query_id", "corpus_id").distinct()
+        postings.join(_in_every_bucket(probes), ["token", "bucket"])
+        .filter(fits).select("query_id", "corpus_id").distinct()
     )
-    return _best(_exact(candidates, ranked, docs))
+    return asked.select("query_id").join(_best(_exact(candidates, ranked, docs)), "query_id", "left")

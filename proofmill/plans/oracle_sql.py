@@ -344,8 +344,9 @@ p AS (
   SELECT query_id, corpus_id, count(*) AS n_common, any_value(nq) + any_value(nd) - count(*) AS n_union
   FROM qt JOIN dt USING (tok) GROUP BY 1, 2
 )
-SELECT query_id, corpus_id, n_common, n_union FROM p
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n_common / n_union DESC, corpus_id) = 1
+SELECT q.query_id, corpus_id, n_common, n_union FROM q LEFT JOIN (
+  SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n_common / n_union DESC, corpus_id) = 1
+) b ON b.query_id = q.query_id
 """
 
 _CASES = "SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 5 AS g, o_orderkey % 97 AS v FROM orders"
@@ -524,3 +525,11 @@ SELECT 'math' AS bug_project, k AS bug_id,
   CAST(levenshtein({S.template(_SECTIONS[1][1])}, {S.template(_SECTIONS[4][1])}) AS INT) AS oracle_distance
 FROM ({_CASES})""",
 }
+
+# The same rows as of other queries, counted or written out and read back.
+ORACLE_SQL |= {
+    "input_count": f"SELECT count(*) AS n_inputs FROM ({ORACLE_SQL['input_rows']})",
+    "corpus_counts": f"SELECT half, count(DISTINCT project_id) AS n_files, count(*) AS n_lines FROM ({ORACLE_SQL['combine_corpus']}) GROUP BY half",
+    "export_overall": f"SELECT row_number() OVER (ORDER BY path, ordinal, split_no) AS line_no, assertion, prefix_focal FROM ({ORACLE_SQL['samples_per_assert']})",
+    "export_meta": "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in C.META_COLUMNS) + f" FROM ({ORACLE_SQL['meta_rows']})",
+}

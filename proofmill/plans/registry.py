@@ -85,6 +85,21 @@ def export_csv(spark, d):
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in C.INPUT_COLUMNS])
 
 
+def export_overall(spark, d):
+    out = fresh_path(spark, "export-overall")
+    samples = per_assertion.samples(per_assertion.run(starcode.code_files(spark, d)).splits)
+    text_pairs.write_pairs(samples, out, ["path", "ordinal", "split_no"], by_project=False)
+    return text_pairs.read_pairs(spark, out, by_project=False)
+
+
+def export_meta(spark, d):
+    out = fresh_path(spark, "export-meta")
+    rows = per_assertion.meta(per_assertion.run(starcode.code_files(spark, d)).splits)
+    text_pairs.write_meta(rows, out, ["path", "ordinal", "split_no"])
+    back = text_pairs.read_csv(spark, f"{out}/meta.csv", ", ".join(f"{c} string" for c in C.META_COLUMNS))
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in C.META_COLUMNS])
+
+
 def export_hits_json(spark, d):
     out = fresh_path(spark, "export-hits")
     text_pairs.write_hits(retrieve_nearest(spark, d), out)
@@ -374,7 +389,15 @@ def meta_rows(spark, d):
 
 
 def reject_counts(spark, d):
-    return per_assertion.reject_counts(per_assertion.run(starcode.code_files(spark, d)))
+    return per_assertion.reject_counts(per_assertion.run(starcode.code_files(spark, d), resolve=False))
+
+
+def input_count(spark, d):
+    return per_assertion.input_count(per_assertion.run(starcode.code_files(spark, d)).splits)
+
+
+def corpus_counts(spark, d):
+    return trees.corpus_counts(trees.corpus_file_lines(_document_files(spark, d)))
 
 
 def project_counts(spark, d):
@@ -409,6 +432,8 @@ QUERIES: dict[str, Query] = {
     "bad_prefix_rows": bad_prefix_rows,
     "export_pairs": export_pairs,
     "export_csv": export_csv,
+    "export_overall": export_overall,
+    "export_meta": export_meta,
     "export_hits_json": export_hits_json,
     "filter_projects": filter_projects,
     "filter_sample_projects": filter_sample_projects,
@@ -452,6 +477,8 @@ QUERIES: dict[str, Query] = {
     "input_rows": input_rows,
     "meta_rows": meta_rows,
     "reject_counts": reject_counts,
+    "input_count": input_count,
+    "corpus_counts": corpus_counts,
     "project_counts": project_counts,
     "oracle_kind": oracle_kind,
     "expected_exception": expected_exception,

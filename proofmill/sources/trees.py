@@ -97,6 +97,13 @@ def combine(lines: DataFrame) -> DataFrame:
     return lines.orderBy("project_id", "half", "line_no")
 
 
+def corpus_counts(lines: DataFrame) -> DataFrame:
+    """(half, n_files, n_lines) of what goes into the combined files."""
+    return lines.groupBy("half").agg(
+        F.count_distinct("project_id").alias("n_files"), F.count("*").alias("n_lines")
+    )
+
+
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """path, content of the text notes in a folder."""
     return _whole(spark, root, "*.txt").select(F.col("file").alias("path"), "content")
