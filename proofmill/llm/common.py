@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ TO_LOWER = str.maketrans(UPPER, LOWER)
 STEP_CHARS, STEP_TEXTS = 400_000, 256
 #: Rows of an Arrow batch. Texts are long, and a batch of Spark's usual 10,000 could hold a gigabyte.
 BATCH_ROWS = 256
+#: Bits of a filter of ids, as a power of two, at most: 32 MB.
+FILTER_BITS = 28
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -51,6 +53,36 @@ def hash_share(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / float(1 << 30)
 
 
+def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test that is true for every id of the one-column frame and for few others, false for null.
+
+    It is a bitmap of checksums, of at most 2^FILTER_BITS bits: with more ids than that it holds it lets
+    more others pass, so whoever uses it makes it exact by a join. It lets a scan keep texts out of a shuffle.
+    """
+    name = ids.columns[0]
+    bits = min(FILTER_BITS, max(15, int(16 * ids.count()).bit_length()))
+    mask = (1 << bits) - 1
+    at = F.crc32(F.col(name).cast("string").cast("binary")).bitwiseAND(mask) + 1  # positions count from 1
+    rows = (
+        ids.filter(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    )
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        begin = (r["bucket"] - 1) * 4096
+        bitmap[begin : begin + 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    @F.arrow_udf("boolean")
+    def maybe(column: pa.Array) -> pa.Array:
+        from zlib import crc32
+
+        at = np.fromiter((-1 if i is None else crc32(str(i).encode()) & mask for i in column.to_pylist()), np.int64, len(column))
+        there = bitmap[np.maximum(at, 0) >> 3] >> (np.maximum(at, 0) & 7).astype(np.uint8) & 1
+        return pa.array((there == 1) & (at >= 0))
+
+    return maybe
+
+
 def steps(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """Cut a batch into runs of texts of bounded size: position of the first, and the texts (null as empty)."""
     first, run, size = 0, [], 0

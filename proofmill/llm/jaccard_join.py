@@ -37,22 +37,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import small_batches, steps
+from proofmill.llm.common import id_filter, small_batches, steps
 from proofmill.llm.graph import components
 from proofmill.llm.shingles import mixed, shingle_sets
 from proofmill.session import written_once
 
 PERCENT = 75
 #: Shingles whose frequency orders them, at most, and the count that makes one frequent.
-FREQUENT, OFTEN = 100_000, 16
+FREQUENT, OFTEN = 1_000_000, 8
 #: Shingles counted together in a task, and the count within them that is passed on.
-COUNTED, PASSED_ON = 3_000_000, 4
+COUNTED, PASSED_ON = 6_000_000, 2
 #: Price of a listed shingle in enumerated subsets; sizes that may be small.
 LISTING, SMALL_SIZES = 4, 12
 #: Bits of a set's bitmap: each is the parity of the shingles that fall to it.
 BITMAP = 2048
-#: Bits of the filter of documents whose sets are asked for, as a power of two, at most.
-FILTER_BITS = 28
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -178,34 +176,17 @@ def list_sets(docs: DataFrame, frequent: dict[str, np.ndarray], small: int, perc
 def whole_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """``sid, set`` (packed hashes) for the documents of ``doc_id, sid``; a repeated document comes as often.
 
-    A bitmap of at most 2^FILTER_BITS bits, from checksums of ids, lets the scan pass over most other
-    documents; the join makes it exact.
+    Only documents that may be asked for are read into sets; the join makes it exact.
     """
-    n = asked.count()
-    bits = min(FILTER_BITS, max(15, int(16 * n).bit_length()))
-    at = F.crc32(F.col("doc_id").cast("string").cast("binary")).bitwiseAND((1 << bits) - 1) + 1  # positions count from 1
-    rows = asked.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows:
-        begin = (r["bucket"] - 1) * 4096
-        bitmap[begin : begin + 4096] = np.frombuffer(r["bits"], np.uint8)
-    mask = (1 << bits) - 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zlib import crc32
-
         for batch in batches:
-            at = np.fromiter((crc32(str(i).encode()) & mask for i in batch.column(0).to_pylist()), np.int64, len(batch))
-            rows = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            if not len(rows):
-                continue
-            part = batch.take(pa.array(rows))
-            sets = [s for _, run in steps(part.column(1).to_pylist()) for s in shingle_sets(run)]
+            sets = [s for _, run in steps(batch.column(1).to_pylist()) for s in shingle_sets(run)]
             sids = pa.array([identity(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), sids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sid", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sid", "set"])
 
-    found = docs.filter("doc_id IS NOT NULL").mapInArrow(scan, "doc_id long, sid long, set binary")
-    return found.join(asked, ["doc_id", "sid"]).select("sid", "set")
+    maybe = docs.filter(id_filter(asked.select("doc_id"))(F.col("doc_id")))
+    return maybe.mapInArrow(scan, "doc_id long, sid long, set binary").join(asked, ["doc_id", "sid"]).select("sid", "set")
 
 
 def both_ends(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -220,7 +201,7 @@ def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
-        both = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (x, y)]
+        both = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), BITMAP // 8) for c in (x, y)]
         differ = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
         size = n.to_numpy() + m.to_numpy()
         need = -(-percent * size // (100 + percent))
