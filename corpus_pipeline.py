@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm import decontamination, jaccard_join, language_id, mixing, sharding
-from proofmill.llm.common import table, word_count
+from proofmill.llm.common import id_filter, table, word_count
 from proofmill.session import written_once
 
 
@@ -23,11 +23,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    groups = jaccard_join.near_duplicates(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    groups = jaccard_join.near_duplicates(docs).filter("doc_id IS NOT NULL")
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.min("component_id").alias("_first"))
+    # only documents that may have to go are shuffled
+    doubtful = written_once(ids.filter("_rows > 1 OR _first <> doc_id"), "doubtful")
+    maybe = id_filter(doubtful.select("doc_id"))
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    stay = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    return stay.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    looked_at = docs.filter(maybe(F.col("doc_id"))).join(doubtful, "doc_id", "left").withColumn("_n", F.row_number().over(once))
+    stay = looked_at.filter("_rows IS NULL OR (_first = doc_id AND _n = 1)")
+    return docs.filter(~maybe(F.col("doc_id"))).unionByName(stay.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
