@@ -111,7 +111,7 @@ def test_calls_in_text_order(spark):
     }'''
     df = spark.createDataFrame([(code,)], "c string")
     assert df.select(focal.calls_of(F.col("c"))).first()[0] == [
-        "Foo", "ArrayList", "go", "inner", "own", "size"
+        "a", "ArrayList", "go", "inner", "own", "size"
     ]
 
 
