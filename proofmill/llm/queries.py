@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import (
-    chat, decontamination, jaccard_join, language_id, mixing, sharding, token_counts, top_k, toxicity, warc,
+    chat, decontamination, jaccard_join, language_id, mixing, sentence_pieces, sharding, token_counts, top_k, toxicity, warc,
 )
 from proofmill.llm.common import id_remainder, table, word_count
 from proofmill.session import fresh_path, written_once
@@ -81,6 +82,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentence_pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = table(spark, sf_dir, "documents").select("doc_id", sentence_pieces.encode(F.col("text"), model).alias("ids"))
+    decoded = encoded.withColumn("text", sentence_pieces.decode(F.col("ids"), model))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("text"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -92,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op13_sentencepiece": op13_sentencepiece,
 }
