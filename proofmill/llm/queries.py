@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import (
-    chat, decontamination, jaccard_join, language_id, mixing, sentence_pieces, sharding, token_counts, top_k, toxicity, warc,
+    chat, conversation_repair, decontamination, jaccard_join, language_id, mixing, sentence_pieces, sharding, token_counts, top_k, toxicity, warc,
 )
 from proofmill.llm.common import id_remainder, table, word_count
 from proofmill.session import fresh_path, written_once
@@ -82,6 +82,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")), texts=False)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentence_pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
     encoded = table(spark, sf_dir, "documents").select("doc_id", sentence_pieces.encode(F.col("text"), model).alias("ids"))
@@ -104,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_sentencepiece": op13_sentencepiece,
 }
