@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import (
-    chat, conversation_repair, decontamination, jaccard_join, language_id, mixing, sentence_pieces, sharding, token_counts, top_k, toxicity, warc,
+    chat, conversation_repair, decontamination, jaccard_join, language_id, mixing, sentence_pieces, sharding, token_counts, tokenizer_alignment,
+    top_k, toxicity, warc,
 )
 from proofmill.llm.common import id_remainder, table, word_count
 from proofmill.session import fresh_path, written_once
@@ -86,6 +87,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")), texts=False)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        byte_level = file.read()
+    pieces = sentence_pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    aligned = tokenizer_alignment.align(table(spark, sf_dir, "documents"), byte_level, pieces, texts=False)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentence_pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
     encoded = table(spark, sf_dir, "documents").select("doc_id", sentence_pieces.encode(F.col("text"), model).alias("ids"))
@@ -109,5 +118,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_sentencepiece": op13_sentencepiece,
 }

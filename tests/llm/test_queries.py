@@ -6,7 +6,7 @@ from check_sql import difference, open_views
 from proofmill.llm.oracle_sql import ORACLE_SQL
 from proofmill.llm.queries import QUERIES
 
-BY_DOCUMENT = ["op1_language_id", "op2_toxicity", "op3_token_counts", "op13_sentencepiece"]
+BY_DOCUMENT = ["op1_language_id", "op2_toxicity", "op3_token_counts", "op12_tokenizer_alignment", "op13_sentencepiece"]
 NO_SQL = [*BY_DOCUMENT, "op11_conversation_repair"]
 
 SF = "/root/testdata/sf0.001"
