@@ -18,8 +18,10 @@ length, also where nothing cuts them. Repeated rows are encoded alike. Other col
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from proofmill.llm.common import steps
 
 MARK = "▁"
 #: Encoded cuts and tested pairs that a task keeps; more begin anew. Longer cuts are not kept.
-KEPT, TESTED, LONG = 400_000, 1_000_000, 64
+KEPT, TESTED, LONG = 600_000, 1_000_000, 64
 
 
 class Model:
@@ -46,7 +48,7 @@ class Model:
         self.byte = [file.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         special = {k for k in range(size) if file.is_control(k) or file.is_unknown(k)}
         self.id = {file.id_to_piece(k): k for k in range(size) if k not in special and not file.is_byte(k)}
-        self.rank = {p: (-file.get_score(k), k) for p, k in self.id.items()}
+        self.cost = {p: -file.get_score(k) for p, k in self.id.items()}
         self.bytes = [b"" if k in special else file.id_to_piece(k).replace(MARK, " ").encode() for k in range(size)]
         for b, k in enumerate(self.byte):
             self.bytes[k] = bytes([b])
@@ -60,10 +62,11 @@ class Model:
             for x, y in zip(p, p[1:]):
                 self.side[self.letter[x], self.letter[y]] = True
         # tokens by number: pieces by id, then characters that are no piece but part of one; 0 is any other character
-        self.token = {**{p: k for p, k in self.id.items() if self.merged(p) == [p]}}
+        self.token = {p: k for p, k in self.id.items() if self.merged(p) == [p]}
         for c in letters:
             self.token.setdefault(c, size + self.letter[c])
         self.text = {k: p for p, k in self.token.items()}
+        self.steps = {k: self.merges(p)[1] for k, p in self.text.items()}
         self.matches = ahocorasick.Automaton()
         for p, k in self.token.items():
             self.matches.add_word(p, (len(p), k))
@@ -73,25 +76,48 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text as it is defined: the best pair first, of equal ones the leftmost."""
-        parts, rank = list(text), self.rank
+        return self.merges(text)[0]
+
+    def merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """The parts in the end; and for each merge its cost with the first and last part that it leaves."""
+        parts, cost, steps = list(text), self.cost, [(-inf, text[0], text[-1])]
         while len(parts) > 1:
-            best = min(((rank[x + y][0], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in rank), default=None)
+            best = min(((cost[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in cost), default=None)
             if best is None:
                 break
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+            steps.append((best[0], parts[0], parts[-1]))
+        return parts, steps
 
     def compatible(self, before: int, token: int) -> bool:
+        """Whether BPE of both texts together never merges across their border.
+
+        The merges of the two happen in order of cost, those of the left one first if equal; at each moment
+        the parts at the border must not be the better pair.
+        """
         key = before << 20 | token
         found = self.pair.get(key)
         if found is None:
             if len(self.pair) > TESTED:
                 self.pair.clear()
-            x, y = self.text[before], self.text[token]
-            found = self.pair[key] = (
-                not self.side[self.letter.get(x[-1], 0), self.letter.get(y[0], 0)] or self.merged(x + y) == [x, y]
-            )
+            found, cost = True, self.cost
+            left, right = self.steps[before], self.steps[token]
+            i = j = 0
+            while True:
+                next_left = left[i + 1][0] if i + 1 < len(left) else inf
+                next_right = right[j + 1][0] if j + 1 < len(right) else inf
+                across = cost.get(left[i][2] + right[j][1], inf)
+                if across < next_left and across <= next_right and across < inf:
+                    found = False
+                    break
+                if next_left == next_right == inf:
+                    break
+                if next_left <= next_right:
+                    i += 1
+                else:
+                    j += 1
+            self.pair[key] = found
         return found
 
     def cut(self, text: str) -> list[str]:
@@ -102,7 +128,7 @@ class Model:
 
     def encode(self, cuts: list[str]) -> Iterator[bytes]:
         """Ids of each cut as 32-bit numbers; cuts come sorted, and keep the table of what they share with the one before."""
-        pair, compatible, iterate = self.pair, self.compatible, self.matches.iter
+        pair, compatible, iterate, longest = self.pair, self.compatible, self.matches.iter, self.longest
         before, last, size = "", [0], [0]  # last token, and its length, of each prefix
         for text in cuts:
             same = 0
@@ -111,24 +137,26 @@ class Model:
                     break
                 same += 1
             del last[same + 1 :], size[same + 1 :]
-            ending: list[list[tuple[int, int]]] = [[] for _ in range(len(text) - same)]
-            for at, match in iterate(text, max(0, same - self.longest + 1)):
-                if at >= same:
-                    ending[at - same].append(match)
-            for end, found in enumerate(ending, same + 1):
-                for length, token in found:  # longest first, as the automaton gives them
-                    begin = end - length
-                    if begin < 0:
+            done = same  # prefixes up to here have their last token
+            for at, (length, token) in iterate(text, max(0, same - longest + 1)):  # longest first, of those that end alike
+                if at < done:
+                    continue
+                while done < at:
+                    last.append(0)
+                    size.append(1)
+                    done += 1
+                previous = last[at + 1 - length]
+                if previous:
+                    fits = pair.get(previous << 20 | token)
+                    if fits is None:
+                        fits = compatible(previous, token)
+                    if not fits:
                         continue
-                    if not begin or not last[begin]:
-                        break
-                    fits = pair.get(last[begin] << 20 | token)
-                    if fits or fits is None and compatible(last[begin], token):
-                        break
-                else:
-                    length, token = 1, 0
                 last.append(token)
                 size.append(length)
+                done += 1
+            last.extend([0] * (len(text) - done))
+            size.extend([1] * (len(text) - done))
             ids, end = [], len(text)
             while end:
                 token, begin = last[end], end - size[end]
@@ -138,7 +166,8 @@ class Model:
                     ids.extend(self.byte[b] for b in reversed(text[begin:end].encode("utf-8", "surrogatepass")))
                 end = begin
             before = text
-            yield np.array(ids[::-1], np.int32).tobytes()
+            ids.reverse()
+            yield array("i", ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -153,23 +182,25 @@ def read_model(path: str) -> bytes:
 
 
 class Encoder:
-    """Ids of texts, with a bounded memory of cuts."""
+    """Ids of texts, with a bounded memory of cuts: those met since it was half full, and those met in the half before."""
 
     def __init__(self, of: Model):
-        self.of, self.known = of, {}
+        self.of, self.known, self.older = of, {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         cuts = [self.of.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.known
-        new = sorted(set().union(*cuts) - known.keys())
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = sorted(set().union(*cuts))
+        known, older = self.known, self.older
+        met = set().union(*cuts) - known.keys()
+        again = met & older.keys()
+        known.update((text, older[text]) for text in again)
+        new = sorted(met - again)
         known.update(zip(new, self.of.encode(new)))
         out = [b"".join(map(known.__getitem__, found)) for found in cuts]
         for text in new:
             if len(text) > LONG:
                 del known[text]
+        if len(known) > KEPT // 2:
+            self.known, self.older = {}, known
         return out
 
 
@@ -200,7 +231,9 @@ def decode(ids: Column, serialized: bytes) -> Column:
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model(serialized).bytes
         for column in batches:
-            whole = (b"".join(map(of.__getitem__, v.values.to_pylist())) if v.is_valid else None for v in column)
-            yield pa.array([None if b is None else b.removeprefix(b" ").decode("utf-8", "replace") for b in whole], pa.string())
+            ends, values = column.offsets.to_numpy().tolist(), column.values.to_numpy()
+            whole = (b"".join(map(of.__getitem__, values[i:j].tolist())) for i, j in zip(ends, ends[1:]))
+            said = (b.removeprefix(b" ").decode("utf-8", "replace") for b in whole)
+            yield pa.array([t if there else None for t, there in zip(said, column.is_valid().to_pylist())], pa.string())
 
     return texts.asNondeterministic()(ids)

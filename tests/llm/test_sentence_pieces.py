@@ -54,6 +54,13 @@ def test_each_prefix_has_the_last_token_of_its_encoding():
         assert [of.text[t] for t in np.frombuffer(next(of.encode([word[:k]])), np.int32).tolist()] == of.merged(word[:k])
 
 
+def test_compatible_pairs_are_those_that_merging_leaves():
+    of, rng = S.model(S.read_model(PATH)), random.Random(6)
+    tokens = [t for t, p in of.text.items() if len(p) < 5]
+    for x, y in ((rng.choice(tokens), rng.choice(tokens)) for _ in range(20_000)):
+        assert of.compatible(x, y) == (of.merged(of.text[x] + of.text[y]) == [of.text[x], of.text[y]])
+
+
 def test_round_trip_and_edges(spark, library):
     model = S.read_model(PATH)
     rows = [(k, t) for k, t in enumerate([None, *ODD, "same", "same"])]
