@@ -34,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ MARK = "▁"
 #: Documents of more characters go on in chunks of this size; fragments composed at once in the tree.
 LONG, CHUNK, AT_ONCE = 65_536, 32_768, 8
 #: Units of a block, and their occurrences in its documents.
-UNITS, OCCURRENCES = 250_000, 2_000_000
+UNITS, OCCURRENCES = 120_000, 800_000
 #: Places where both tokenizers cut, and where the second does.
 BOTH_CUT, SECOND_CUT = re.compile(r"(?<=\S) (?=\S)"), re.compile(rf"(?<=[^ {MARK}]) (?=.)", re.DOTALL)
 
@@ -123,7 +124,8 @@ class Aligner:
             for k, p in enumerate(names)
         ]
         self.a_length, self.b_length = (np.array([len(b) for b in of], np.int64) for of in (self.a_bytes, self.b_bytes))
-        self.names = [str(k) for k in range(max(len(self.a_bytes), self.size))]
+        self.names = max(len(self.a_bytes), self.size)
+        self.spelled = [f"{k}{mark}" for mark in ",|;" for k in range(self.names)]
 
     def encode(self, a_texts: list[str], b_texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of texts as they are, and of texts to which the second tokenizer adds a space."""
@@ -139,17 +141,20 @@ class Aligner:
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return Tokens(a, a_begin + np.cumsum(self.a_length[a]), b, b_begin + np.cumsum(self.b_length[b]))
 
-    def groups(self, tokens: Tokens, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Text of the group that ends at each offset; and for the linked pairs, their group, the pair as a number, how often."""
+    def groups(self, tokens: Tokens, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids as text, each with the mark after it, and where each group's begin (each ends at an offset, and the
+
+        beginning after the last is their number); and for the linked pairs, their group, the pair as a number, how often.
+        """
         of_a, of_b = np.searchsorted(ends, tokens.a_ends), np.searchsorted(ends, tokens.b_ends)
         n_a, n_b = np.bincount(of_a, minlength=len(ends)), np.bincount(of_b, minlength=len(ends))
         a_at, b_at = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
-        name = self.names.__getitem__
-        a_names, b_names = list(map(name, tokens.a.tolist())), list(map(name, tokens.b.tolist()))
-        texts = [
-            f"{','.join(a_names[i:j])}|{','.join(b_names[k:m])}"
-            for (i, j), (k, m) in zip(pairwise(a_at.tolist()), pairwise(b_at.tolist()))
-        ]
+        marked = np.empty(len(tokens.a) + len(tokens.b), np.int64)
+        marked[np.arange(len(of_a)) + b_at[of_a]] = tokens.a
+        marked[np.arange(len(of_b)) + a_at[of_b + 1]] = tokens.b
+        marked[a_at[1:] - 1 + b_at[:-1]] += self.names
+        marked[a_at[1:] - 1 + b_at[1:]] += 2 * self.names
+        texts = list(map(self.spelled.__getitem__, marked.tolist()))
         large = n_a * n_b > 4096
         fan = np.where(large, 0, n_b)[of_a]  # links of each token of the first kind, in groups that are not large
         group = np.repeat(of_a, fan)
@@ -159,14 +164,14 @@ class Aligner:
             x, n = np.unique(tokens.a[a_at[g] : a_at[g + 1]], return_counts=True)
             y, m = np.unique(tokens.b[b_at[g] : b_at[g + 1]], return_counts=True)
             found.append((np.full(len(x) * len(y), g), np.add.outer(x * self.size, y).ravel(), np.outer(n, m).ravel()))
-        return texts, *(np.concatenate(c) for c in zip(*found))
+        return texts, a_at + b_at, *(np.concatenate(c) for c in zip(*found))
 
     def closed(self, tokens: Tokens, ends: np.ndarray) -> Closed:
         """All groups that end at the offsets; the tokens end with the last of them."""
         if not len(ends):
             return Closed()
-        texts, _, pairs, times = self.groups(tokens, ends)
-        return Closed(tuple(texts), len(tokens.a), len(tokens.b), len(ends), pairs, times) + Closed()
+        texts, _, _, pairs, times = self.groups(tokens, ends)
+        return Closed(("".join(texts)[:-1],), len(tokens.a), len(tokens.b), len(ends), pairs, times) + Closed()
 
     def fragment(self, tokens: Tokens) -> Fragment:
         ends = np.intersect1d(tokens.a_ends, tokens.b_ends, assume_unique=True)
@@ -209,7 +214,7 @@ class Block:
         self.of, self.texts = of, texts
         self.number: dict[str, int] = {}
         self.said: list[str | None] = []  # groups of each unit, None where a tokenizer changes it
-        self.facts = np.zeros((1024, 4), np.int64)  # tokens of either kind, groups, links of each unit
+        self.facts: list[np.ndarray] = []  # tokens of either kind, groups, links of each unit
         self.pairs: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []  # pairs of each unit
@@ -221,42 +226,56 @@ class Block:
         return len(self.said) > UNITS or self.occurrences > OCCURRENCES
 
     def learn(self, units: list[str]) -> None:
+        """Take up units that are not known yet."""
         of = self.of
-        wanted = [(" " + u).encode() for u in units]
-        a, b = of.encode([" " + u for u in units], units)
-        kept = [of.same(x, y, w, w) for x, y, w in zip(a, b, wanted)]
-        for unit in units:
-            self.number[unit] = len(self.number)
-        begin = len(self.said)
-        self.said += [None] * len(units)
-        while len(self.facts) < len(self.said):
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        good = np.flatnonzero(kept)
-        sizes = np.zeros(len(units), np.int64)
-        if len(good):
-            a, b = [a[k] for k in good], [b[k] for k in good]
-            tokens = of.tokens(list(chain.from_iterable(a)), list(chain.from_iterable(b)))
-            ends = np.intersect1d(tokens.a_ends, tokens.b_ends, assume_unique=True)
-            texts, group, pairs, times = of.groups(tokens, ends)
-            unit = np.searchsorted(np.cumsum([len(wanted[k]) for k in good]), ends)  # of each group
-            n_groups = np.bincount(unit, minlength=len(good))
-            at = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-            for k, (i, j) in zip(good.tolist(), pairwise(at)):
-                self.said[begin + k] = ";".join(texts[i:j])
-            space = len(of.a_bytes) * of.size
-            keys, at = np.unique(unit[group] * space + pairs, return_inverse=True)
-            self.times.append(np.bincount(at, times).astype(np.int64))
-            self.pairs.append(keys % space)
-            sizes[good] = np.bincount(keys // space, minlength=len(good))
-            links = np.bincount(unit[group], times, len(good))
-            self.facts[begin + good] = np.stack([[len(x) for x in a], [len(x) for x in b], n_groups, links], 1)
-        self.sizes.append(sizes)
+        # units without white space at their ends are read together, as both tokenizers cut before the space between them
+        alone = [u for u in units if u.strip() != u]
+        plain = sorted(set(units).difference(alone)) if alone else units
+        runs = [plain[k : k + 2000] for k in range(0, len(plain), 2000)] + [[u] for u in alone]
+        said = [" ".join(run) for run in runs]
+        again = []
+        for run, text, a, b in zip(runs, said, *of.encode([" " + t for t in said], said)):
+            whole = (" " + text).encode()
+            if of.same(a, b, whole, whole):
+                self.take(run, of.tokens(a, b))
+            else:
+                again += run
+        for unit in again:  # one of the run is changed
+            (a,), (b,) = of.encode([" " + unit], [unit])
+            whole = (" " + unit).encode()
+            self.take([unit], of.tokens(a, b) if of.same(a, b, whole, whole) else None)
+
+    def take(self, units: list[str], tokens: Tokens | None) -> None:
+        """Units of a run of tokens; without tokens, a unit that a tokenizer changes."""
+        begin, n = len(self.said), len(units)
+        self.number.update(zip(units, range(begin, begin + n)))
+        if tokens is None:
+            self.said += [None] * n
+            self.facts.append(np.zeros((n, 4), np.int64))
+            self.sizes.append(np.zeros(n, np.int64))
+            return
+        of = self.of
+        ends = np.intersect1d(tokens.a_ends, tokens.b_ends, assume_unique=True)
+        texts, at, group, pairs, times = of.groups(tokens, ends)
+        unit_ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        unit = np.searchsorted(unit_ends, ends)  # of each group
+        n_groups = np.bincount(unit, minlength=n)
+        first = at[np.concatenate([[0], np.cumsum(n_groups)])].tolist()
+        self.said += ["".join(texts[i:j])[:-1] for i, j in pairwise(first)]
+        space = len(of.a_bytes) * of.size
+        keys, back = np.unique(unit[group] * space + pairs, return_inverse=True)
+        self.times.append(np.bincount(back, times).astype(np.int32))
+        self.pairs.append((keys % space).astype(np.int32 if space < 1 << 31 else np.int64))
+        self.sizes.append(np.bincount(keys // space, minlength=n))
+        n_a, n_b = (np.bincount(np.searchsorted(unit_ends, e), minlength=n) for e in (tokens.a_ends, tokens.b_ends))
+        self.facts.append(np.stack([n_a, n_b, n_groups, np.bincount(unit[group], times, n).astype(np.int64)], 1))
 
     def add(self, ids: list, texts: list[str]) -> None:
         split = [BOTH_CUT.split(t) if t else [] for t in texts]
         new = sorted(set(chain.from_iterable(split)) - self.number.keys())
         if new:
             self.learn(new)
+            self.facts = [np.concatenate(self.facts)]
         for doc, units in zip(ids, split):
             found = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
             said = [self.said[k] for k in found.tolist()]
@@ -266,12 +285,12 @@ class Block:
                 continue
             text = ";".join(said)
             sha = hashlib.sha256(text.encode()).hexdigest()
-            self.docs.append((doc, *self.facts[found].sum(0).tolist(), sha, text if self.texts else None))
-            self.bags.append(np.unique(found, return_counts=True))
+            self.docs.append((doc, *self.facts[0][found].sum(0).tolist(), sha, text if self.texts else None))
+            self.bags.append(tuple(c.astype(np.int32) for c in np.unique(found, return_counts=True)))
             self.occurrences += len(self.bags[-1][0])
 
     def row(self) -> dict:
-        pairs, at = np.unique(np.concatenate([*self.pairs, np.zeros(0, np.int64)]), return_inverse=True)
+        pairs, at = np.unique(np.concatenate([*self.pairs, np.zeros(0, np.int32)]), return_inverse=True)
         ends = np.concatenate([[0], np.cumsum(np.concatenate([*self.sizes, np.zeros(0, np.int64)]))])
         counts, place = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         for units, _ in self.bags:
@@ -280,9 +299,9 @@ class Block:
             place[held] = np.arange(len(held))  # the last writer stands for its pair
             counts[held[place[held] == np.arange(len(held))]] += 1
         return {
-            "block": uuid.uuid4().hex, "pairs": pairs, "counts": counts,
-            "docs": pickle.dumps((self.docs, [(u.astype(np.int32), n.astype(np.int32)) for u, n in self.bags])),
-            "units": pickle.dumps((ends, at.astype(np.int32), np.concatenate([*self.times, np.zeros(0, np.int64)]).astype(np.int32))),
+            "block": uuid.uuid4().hex, "pairs": pairs.astype(np.int64), "counts": counts,
+            "docs": packed((self.docs, self.bags)),
+            "units": packed((ends, at.astype(np.int32), np.concatenate([*self.times, np.zeros(0, np.int32)]))),
         }
 
 
@@ -290,6 +309,14 @@ BLOCK = "block string, pairs array<long>, counts array<long>, docs binary, units
 FACTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, n_best long, count_sum long"
 
 
+def packed(value: object) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value))
+
+
+def unpacked(data: bytes) -> object:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+
+
 def block_batch(row: dict) -> pa.RecordBatch:
     long_list, types = pa.list_(pa.int64()), {"block": pa.string(), "docs": pa.binary(), "units": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, long_list)) for k, v in row.items()], list(row))
@@ -357,22 +384,22 @@ def long_blocks(docs: DataFrame, models: tuple[str, bytes], chunk: int, texts: b
                 (a,), (b,) = of.encode([a_text], [b_text])
                 want = (" " + b_text if b_text else "").encode("utf-8", "surrogatepass")
                 kept = of.same(a, b, a_text.encode("utf-8", "surrogatepass"), want)
-                found.append(pickle.dumps(of.fragment(of.tokens(a, b, a_begin, b_begin)) if kept else None))
+                found.append(packed(of.fragment(of.tokens(a, b, a_begin, b_begin)) if kept else None))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "id", "k")), pa.array(found, pa.binary())], ["key", "id", "k", "fragment"])
 
     def compose(table: pa.Table) -> pa.Table:
         of = aligner(*models)
         rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        parts = [pickle.loads(r["fragment"]) for r in rows]
+        parts = [unpacked(r["fragment"]) for r in rows]
         whole = None if any(p is None for p in parts) else of.tree(parts)
-        out = rows[0] | {"k": rows[0]["k"] // AT_ONCE, "fragment": pickle.dumps(whole)}
+        out = rows[0] | {"k": rows[0]["k"] // AT_ONCE, "fragment": packed(whole)}
         return pa.Table.from_pylist([out], schema=table.schema)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = aligner(*models)
         for batch in batches:
             for doc, data in zip(batch.column("id").to_pylist(), batch.column("fragment").to_pylist()):
-                whole, block = pickle.loads(data), Block(of, texts)
+                whole, block = unpacked(data), Block(of, texts)
                 if whole is None:
                     block.add([doc], [""])
                 else:
@@ -432,7 +459,7 @@ def align(docs: DataFrame, byte_level: str, pieces: bytes, key: str = "doc_id",
         n[at], is_best[at] = pairs.column("n").to_numpy(), pairs.column("best").to_numpy()
         out = []
         for docs_, units in zip(block.column("docs").to_pylist(), block.column("units").to_pylist()):
-            (ends, held, times), (facts, bags) = pickle.loads(units), pickle.loads(docs_)
+            (ends, held, times), (facts, bags) = unpacked(units), unpacked(docs_)
             sums = [np.concatenate([[0], np.cumsum(times * of[held])]) for of in (is_best, n)]
             sums = [s[ends[1:]] - s[ends[:-1]] for s in sums]  # of each unit
             out += ((*f, *(int((s[u] * t).sum()) for s in sums)) for f, (u, t) in zip(facts, bags))
