@@ -375,6 +375,12 @@ SELECT DISTINCT project, project NOT LIKE 'lib%' AS numbered, split_part(project
 SELECT project_id, line_no, max(CASE WHEN half = 'assert' THEN line END) AS assertion,
   max(CASE WHEN half <> 'assert' THEN line END) AS prefix_focal
 FROM lines GROUP BY 1, 2""",
+    "file_line_numbers": r"""
+WITH t AS (
+  SELECT doc_id, (doc_id // 2000) || CASE doc_id % 2 WHEN 0 THEN '_assert' ELSE '_prefix_focal' END AS name, text FROM documents
+)
+SELECT name, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS line_no,
+  concat_ws(':', doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g')) AS line FROM t""",
     "combine_corpus": _DOC_FILES + "SELECT project_id, half, line_no, line FROM lines ORDER BY 1, 2, 3",
     "case_sections": " UNION ALL ".join(
         f"SELECT 'math' AS bug_project, k AS bug_id, '{name}' AS section, {i + 1} AS seq,"

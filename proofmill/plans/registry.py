@@ -14,7 +14,7 @@ from proofmill.operators import splits as SP
 from proofmill.plans import first_assertion, per_assertion
 from proofmill.session import fresh_path
 from proofmill.sinks import text_pairs
-from proofmill.sources import notes, starcode, trees
+from proofmill.sources import lines, notes, starcode, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,11 +50,24 @@ def _document_files(spark, d):
 
 
 def read_corpus(spark, d):
-    return trees.pair_halves(trees.corpus_file_lines(_document_files(spark, d)))
+    return trees.pair_halves(trees.corpus_file_lines(_document_files(spark, d))).drop("project")
 
 
 def combine_corpus(spark, d):
-    return trees.combine(trees.corpus_file_lines(_document_files(spark, d)))
+    return trees.combine(trees.corpus_file_lines(_document_files(spark, d))).drop("project")
+
+
+def file_line_numbers(spark, d):
+    """Documents as lines of text files, a thousand to a file, written and read back with their numbers."""
+    out = fresh_path(spark, "line-files")
+    half = F.when(F.col("doc_id") % 2 == 0, "assert").otherwise("prefix_focal")
+    told = _table(spark, d, "documents", "doc_id", "text").select(
+        "doc_id", F.concat_ws("_", F.floor(F.col("doc_id") / 2000).cast("string"), half).alias("name"),
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.regexp_replace("text", r"[\r\n]+", " ")).alias("value"),
+    )
+    told.repartition("name").sortWithinPartitions("name", "doc_id").drop("doc_id").write.partitionBy("name").text(out)
+    scan = spark.read.schema("value string, name string").text(out)
+    return lines.numbered(scan, "name").drop("file")
 
 
 def case_sections(spark, d):
@@ -428,6 +441,7 @@ QUERIES: dict[str, Query] = {
     "scan_sources": scan_sources,
     "read_corpus": read_corpus,
     "combine_corpus": combine_corpus,
+    "file_line_numbers": file_line_numbers,
     "case_sections": case_sections,
     "bad_prefix_rows": bad_prefix_rows,
     "export_pairs": export_pairs,

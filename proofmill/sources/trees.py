@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from proofmill import constants as C
 from proofmill.functions.text import lies_in
+from proofmill.sources.lines import file_lines
 
 
 def _whole(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -50,57 +51,65 @@ def scan_project_tree(spark: SparkSession, root: str, suffix: str = C.TEST_SUFFI
     ).filter("kind IS NOT NULL")
 
 
-def corpus_file_lines(files: DataFrame) -> DataFrame:
-    """files(file_name, content) → project_id, half, line_no, line.
+def _of_corpus(files: DataFrame) -> DataFrame:
+    """Add project (the digits of the file's name), project_id and half; files of other names go.
 
-    Files that are not named number_assert.txt or number_prefix_focal.txt are
-    passed over.
+    Digits are kept as text, so ids of any length, and ids with leading zeros, stay apart. project_id is their
+    number, NULL where it fits no bigint.
     """
     half = F.when(F.col("file_name").rlike(C.ASSERT_FILE_PATTERN), "assert").when(
         F.col("file_name").rlike(C.PREFIX_FOCAL_FILE_PATTERN), "prefix_focal"
     )
+    project = F.split_part("file_name", F.lit("_"), F.lit(1))
+    return files.withColumns(
+        {"half": half, "project": project, "project_id": project.try_cast("bigint")}
+    ).filter("half IS NOT NULL")
+
+
+def corpus_file_lines(files: DataFrame) -> DataFrame:
+    """files(file_name, content) → project, project_id, half, line_no, line.
+
+    Files that are not named number_assert.txt or number_prefix_focal.txt are
+    passed over.
+    """
     lines = F.split(F.regexp_replace("content", r"\n\z", ""), "\n", -1)
     return (
-        files.withColumn("half", half)
-        .filter("half IS NOT NULL AND content <> ''")
-        .select(
-            F.split_part("file_name", F.lit("_"), F.lit(1)).try_cast("bigint").alias("project_id"),
-            "half", F.posexplode(lines).alias("i", "line"),
-        )
-        .select("project_id", "half", (F.col("i") + 1).alias("line_no"), "line")
+        _of_corpus(files.filter("content <> ''"))
+        .select("project", "project_id", "half", F.posexplode(lines).alias("i", "line"))
+        .select("project", "project_id", "half", (F.col("i") + 1).alias("line_no"), "line")
     )
 
 
 def pair_halves(lines: DataFrame) -> DataFrame:
-    """project_id, line_no, assertion, prefix_focal; NULL where a half is missing."""
-    return lines.groupBy("project_id", "line_no").agg(
+    """project, project_id, line_no, assertion, prefix_focal; NULL where a half is missing."""
+    return lines.groupBy("project", "project_id", "line_no").agg(
         F.max(F.when(F.col("half") == "assert", F.col("line"))).alias("assertion"),
         F.max(F.when(F.col("half") == "prefix_focal", F.col("line"))).alias("prefix_focal"),
     )
 
 
 def read_corpus_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of the number_assert.txt and number_prefix_focal.txt files in a folder."""
-    files = _whole(spark, root, "*.txt").select(
-        F.substring_index("file", "/", -1).alias("file_name"), "content"
-    )
-    return corpus_file_lines(files)
+    """Lines of the number_assert.txt and number_prefix_focal.txt files in a folder; files may be of any size."""
+    lines = file_lines(spark, root, "*.txt").withColumn("file_name", F.substring_index("file", "/", -1))
+    return _of_corpus(lines).select("project", "project_id", "half", "line_no", "line")
 
 
-def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """The same folder as paired lines."""
-    return pair_halves(read_corpus_lines(spark, root))
+def read_corpus(spark: SparkSession, root: str, digits: bool = False) -> DataFrame:
+    """The same folder as paired lines; with ``digits`` project is there too, which tells ids apart that fit no bigint."""
+    pairs = pair_halves(read_corpus_lines(spark, root))
+    return pairs if digits else pairs.drop("project")
 
 
 def combine(lines: DataFrame) -> DataFrame:
     """All projects in number order, lines in file order, duplicates kept."""
-    return lines.orderBy("project_id", "half", "line_no")
+    number = F.regexp_replace("project", "^0+(?=.)", "")
+    return lines.orderBy(F.length(number), number, "project", "half", "line_no")
 
 
 def corpus_counts(lines: DataFrame) -> DataFrame:
     """(half, n_files, n_lines) of what goes into the combined files."""
     return lines.groupBy("half").agg(
-        F.count_distinct("project_id").alias("n_files"), F.count("*").alias("n_lines")
+        F.count_distinct("project").alias("n_files"), F.count("*").alias("n_lines")
     )
 
 
