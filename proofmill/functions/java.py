@@ -316,16 +316,94 @@ def braces_balance(blanked: Column) -> Column:
     return let(end, lambda e: (e["depth"] == 0) & (e["low"] == 0))
 
 
-def call_names(blanked_method: Column) -> Column:
-    """Names called or created in the body of a blanked method, in text order."""
+def _call_text(blanked_method: Column) -> Column:
+    """Body of a blanked method, with created types by their head."""
     body = F.regexp_replace(blanked_method, r"^[^{]*+\{?", "")
     # ``new a.B<C>(`` creates by the head of the type, as the other calls go by their first name
-    plain = F.regexp_replace(body, r"\bnew\s+([\w$]+)[\w$.]*+\s*(?:<[^()]*?>\s*)?\(", "new $1(")
-    names = F.regexp_extract_all(plain, F.lit(_CALL), F.lit(1))
-    return F.filter(
-        names,
-        lambda n: ~n.isin(*_NOT_CALLS, *C.NON_FOCAL_CALLS) & ~n.contains(C.NON_FOCAL_PART),
+    return F.regexp_replace(body, r"\bnew\s+([\w$]+)[\w$.]*+\s*(?:<[^()]*?>\s*)?\(", "new $1(")
+
+
+def _may_be_focal(name: Column) -> Column:
+    return ~name.isin(*_NOT_CALLS, *C.NON_FOCAL_CALLS) & ~name.contains(C.NON_FOCAL_PART)
+
+
+def call_names(blanked_method: Column) -> Column:
+    """Names called or created in the body of a blanked method, in text order."""
+    names = F.regexp_extract_all(_call_text(blanked_method), F.lit(_CALL), F.lit(1))
+    return F.filter(names, _may_be_focal)
+
+
+# A call once its name and bracket are marked, after a dot or not; a field; a name; any other sign.
+_MARKED = "\x01[\\w$]+\x02"
+_PARTS = r"\.\s*(?:<[^<>()]*>\s*)?" + _MARKED + "|" + _MARKED + r"|\.\s*[\w$]+|[\w$]+|[^\s\w$]"
+# What came last in a bracket: nothing that a call could go on from, a name, ``this``, or a closed bracket and its fields.
+_NOTHING, _NAME, _THIS, _CLOSED = range(4)
+
+
+def call_names_in_tree_order(blanked_method: Column) -> Column:
+    """The same names in the order of a syntax tree.
+
+    Both orders differ in chains alone: a tree has a chain's first call, then the calls that go on from it, each
+    with its arguments, and then the first call's arguments, and an anonymous class's body after these.
+
+    Brackets are kept on a stack. Every call gets a key, the path to it in the tree, so that keys sort like
+    the tree: below its bracket the chain's number, then 0 for the first call, 1 and a number for
+    one that goes on, 2 for the arguments of the first, 3 for a body. The condition of ``do``-``while`` counts after its body.
+    """
+    ints = "array<int>"
+
+    def numbers(*values) -> Column:
+        return F.array(*(F.lit(v) if isinstance(v, int) else v for v in values)).cast(ints)
+
+    def frame(p: Column, n, j, last) -> Column:
+        values = (F.lit(v) if isinstance(v, int) else v for v in (n, j, last))
+        return F.struct(p.alias("p"), *(v.cast("int").alias(c) for v, c in zip(values, ("n", "j", "last"))))
+
+    def step(acc: Column, part: Column) -> Column:
+        top, below = F.element_at(acc["stack"], -1), F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1)
+        name = F.regexp_extract(part, "\x01([\\w$]+)\x02", 1)
+        dotted, goes_on = part.startswith("."), part.startswith(".") & (top["last"] == _CLOSED)
+        selector = dotted & (top["last"] != _NAME)
+        n = F.when(goes_on, top["n"]).otherwise(top["n"] + 1)
+        j = F.when(goes_on, top["j"] + 1).when(selector, 1).otherwise(0)
+
+        def called(at: Column) -> Column:
+            key = F.when(selector, F.concat(at["base"], numbers(1, at["j"]))).otherwise(F.concat(at["base"], numbers(0)))
+            inside = F.when(selector, F.concat(at["base"], numbers(1, at["j"], 1))).otherwise(F.concat(at["base"], numbers(2)))
+            return F.struct(
+                F.concat(below, F.array(frame(top["p"], at["n"], at["j"], _CLOSED), frame(inside, 0, 0, _NOTHING))).alias("stack"),
+                F.concat(acc["found"], F.array(F.struct(key.alias("key"), name.alias("name")))).alias("found"),
+            )
+
+        def with_top(*frames: Column) -> Column:
+            return F.struct(F.concat(below, F.array(*frames)).alias("stack"), acc["found"].alias("found"))
+
+        same = F.concat(top["p"], numbers(top["n"]))
+        index = with_top(top, frame(F.concat(same, numbers(1, top["j"], 2)), 0, 0, _NOTHING))
+        body = with_top(top, frame(F.concat(same, numbers(3)), 0, 0, _NOTHING))
+        fresh = with_top(
+            frame(top["p"], top["n"] + 1, 0, _CLOSED), frame(F.concat(top["p"], numbers(top["n"] + 1, 0)), 0, 0, _NOTHING)
+        )
+        closed = top["last"] == _CLOSED
+        call = let(F.struct(n.cast("int").alias("n"), j.cast("int").alias("j"), F.concat(top["p"], numbers(n)).alias("base")), called)
+        return (
+            F.when(name != "", call)
+            .when((part == "[") & closed, index).when((part == "{") & closed, body)
+            .when(part.isin("(", "[", "{"), fresh)
+            .when(part.isin(")", "]", "}") & (F.size(acc["stack"]) > 1), F.struct(below.alias("stack"), acc["found"].alias("found")))
+            .when(dotted & (part != "."), with_top(frame(top["p"], top["n"], top["j"], F.when(closed, _CLOSED).otherwise(_NAME))))
+            .when(part == "this", with_top(frame(top["p"], top["n"], top["j"], _THIS)))
+            .when(part.rlike(r"^[\w$]"), with_top(frame(top["p"], top["n"], top["j"], _NAME)))
+            .otherwise(with_top(frame(top["p"], top["n"], top["j"], _NOTHING)))
+        )
+
+    marked = F.regexp_replace(_call_text(blanked_method), _CALL, "\x01$1\x02")
+    start = F.struct(
+        F.array(frame(F.array().cast(ints), 0, 0, _NOTHING)).alias("stack"),
+        F.array().cast("array<struct<key:array<int>,name:string>>").alias("found"),
     )
+    found = F.aggregate(F.regexp_extract_all(marked, F.lit(_PARTS), F.lit(0)), start, step)["found"]
+    return F.filter(F.transform(F.array_sort(found), lambda c: c["name"]), _may_be_focal)
 
 
 def split_by_assertion(text: Column, start_n: Column) -> Column:

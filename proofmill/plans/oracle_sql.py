@@ -455,6 +455,12 @@ SELECT test_path AS path, j AS ordinal, split_no, split_text, line_nums FROM sp
 SELECT test_path AS path, j AS ordinal, assert_n, split_text FROM sp WHERE test_ok AND assert_n = {S.HEADER_LINES + 6}""",
     "call_sites": FACTS + _CALL_ROWS + """
 SELECT test_path AS path, j AS ordinal, rank, called AS name FROM calls WHERE test_ok""",
+    "call_sites_tree": """
+WITH t AS (
+  SELECT o_orderkey, ['first' || o_orderkey, 'next', 'arg' || o_custkey, 'Made', 'deep', 'last', 'inner' || o_custkey,
+    'Job', 'start', 'count', 'size', 'go', 'own', 'p', 'then', 'q'] AS names FROM orders
+)
+SELECT o_orderkey, CAST(16 - i AS INT) AS rank, names[i] AS name FROM t, unnest(range(1, 17)) AS u(i)""",
     "test_source_pairs": FACTS + f"SELECT test_path AS path, {_BY_NAME} AS source_path FROM f WHERE has_source AND k % 101 <> 0",
     "missing_sources": FACTS + f"SELECT test_path AS path, {_BY_NAME} AS source_path FROM f WHERE NOT has_source OR k % 101 = 0",
     "focal_project": FACTS + _FOCAL_A + f"""

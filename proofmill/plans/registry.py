@@ -285,6 +285,19 @@ def call_sites(spark, d):
     return focal.call_sites(_test_methods(spark, d)).select("path", "ordinal", "rank", "name")
 
 
+def call_sites_tree(spark, d):
+    """Calls of chained statements, one method for each order, in tree order."""
+    code = F.expr(
+        "concat('void test', o_orderkey, '() { x.first', o_orderkey, '(inner', o_custkey, '(), b).next(arg', o_custkey,"
+        " '(new Made(deep()))).last(); new Job(size()) { public void run() { go(); } }.start(', 'y.count()); this.own(p()).then(q()); }')"
+    )
+    orders = _table(spark, d, "orders", "o_orderkey", "o_custkey").select(
+        F.lit("1_chains").alias("project"), F.col("o_orderkey").alias("path"), F.lit(0).alias("ordinal"),
+        F.lit("t").alias("method_name"), code.alias("text"),
+    )
+    return focal.call_sites(orders, tree_order=True).select(F.col("path").alias("o_orderkey"), "rank", "name")
+
+
 # --- joins ---------------------------------------------------------------
 
 def test_source_pairs(spark, d):
@@ -475,6 +488,7 @@ QUERIES: dict[str, Query] = {
     "split_per_assert": split_per_assert,
     "split_at_line": split_at_line,
     "call_sites": call_sites,
+    "call_sites_tree": call_sites_tree,
     "test_source_pairs": test_source_pairs,
     "missing_sources": missing_sources,
     "focal_project": focal_project,
