@@ -1,7 +1,8 @@
 """Command line: build a corpus from a folder of projects, or combine a produced one.
 
     python -m proofmill.cli first ROOT -o OUT [--projects A B] [--sample-projects] [--suffix S]
-    python -m proofmill.cli per-assert ROOT -o OUT ...
+                                              [--skip-comments] [--tree-order] [--named-tests]
+    python -m proofmill.cli per-assert ROOT -o OUT ... [--same-package]
     python -m proofmill.cli combine FOLDER -o OUT
 """
 
@@ -31,7 +32,7 @@ def select_files(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def build_first(spark: SparkSession, args: argparse.Namespace) -> None:
     """Parquet with order columns, and one pair of text folders per project."""
-    rows = first_assertion.samples(select_files(spark, args), args.suffix)
+    rows = first_assertion.samples(select_files(spark, args), args.suffix, args.skip_comments, args.named_tests, args.tree_order)
     rows.write.parquet(f"{args.output}/samples")
     text_pairs.write_pairs(
         spark.read.parquet(f"{args.output}/samples"), f"{args.output}/text", ["path", "ordinal"]
@@ -41,14 +42,17 @@ def build_first(spark: SparkSession, args: argparse.Namespace) -> None:
 def build_per_assertion(spark: SparkSession, args: argparse.Namespace) -> None:
     """Parquet, one overall pair of text folders, the two CSV outputs and the reject counts."""
     order = ["path", "ordinal", "split_no"]
-    stages = per_assertion.run(select_files(spark, args), args.suffix)
+    stages = per_assertion.run(
+        select_files(spark, args), args.suffix, same_package=args.same_package, skip_comments=args.skip_comments,
+        tree_order=args.tree_order,
+    )
     stages.splits = written_once(stages.splits, "splits")
-    per_assertion.samples(stages.splits).write.parquet(f"{args.output}/samples")
+    per_assertion.samples(stages.splits, args.skip_comments).write.parquet(f"{args.output}/samples")
     text_pairs.write_pairs(
         spark.read.parquet(f"{args.output}/samples"), f"{args.output}/text", order, by_project=False
     )
     text_pairs.write_inputs(per_assertion.inputs(stages.splits), args.output, order)
-    text_pairs.write_meta(per_assertion.meta(stages.splits), args.output, order)
+    text_pairs.write_meta(per_assertion.meta(stages.splits, args.skip_comments), args.output, order)
     per_assertion.reject_counts(stages).write.json(f"{args.output}/rejects")
     spark.read.json(f"{args.output}/rejects").orderBy("stage", "reason").show(50, False)
 
@@ -74,6 +78,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             command.add_argument("--projects", nargs="+")
             command.add_argument("--sample-projects", action="store_true")
             command.add_argument("--suffix", default=C.TEST_SUFFIX)
+            command.add_argument("--skip-comments", action="store_true", help="pass over assertions that are commented out")
+            command.add_argument("--tree-order", action="store_true", help="look at calls in the order of a syntax tree")
+        if run is build_first:
+            command.add_argument("--named-tests", action="store_true", help="only methods named test and a number")
+        if run is build_per_assertion:
+            command.add_argument("--same-package", action="store_true", help="find superclasses of the same package")
     args = parser.parse_args(argv)
     args.run(spark or build_session(), args)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofmill import constants as C
-from proofmill.functions.text import OPAQUE, PIECES, let, strip
+from proofmill.functions.text import OPAQUE, PIECES, let, line_comments_out, strip
 
 # Everything up to and with the next brace that is code.  The anchor keeps a text
 # without further braces from being tried again at every character.
@@ -406,14 +406,20 @@ def call_names_in_tree_order(blanked_method: Column) -> Column:
     return F.filter(F.transform(F.array_sort(found), lambda c: c["name"]), _may_be_focal)
 
 
-def split_by_assertion(text: Column, start_n: Column) -> Column:
+def split_by_assertion(text: Column, start_n: Column, skip_comments: bool = False) -> Column:
     """One entry per assertion line, and a last one without any.
 
     An entry holds the non-assertion lines above, its own assertion line, a
-    closing brace, and the line numbers that went in.
+    closing brace, and the line numbers that went in. With ``skip_comments`` a
+    line whose assertion is commented out is no assertion line.
     """
+    read = line_comments_out(text) if skip_comments else text
     numbered = F.transform(
-        F.split(text, "\n", -1), lambda s, i: F.struct((start_n + i).alias("n"), s.alias("s"))
+        F.arrays_zip(F.split(text, "\n", -1).alias("s"), F.split(read, "\n", -1).alias("read")),
+        lambda x, i: F.struct((start_n + i).alias("n"), x["s"].alias("s"), x["read"].contains("assert").alias("asserts")),
+    ) if skip_comments else F.transform(
+        F.split(text, "\n", -1),
+        lambda s, i: F.struct((start_n + i).alias("n"), s.alias("s"), s.contains("assert").alias("asserts")),
     )
     visible = F.filter(numbered, lambda x: strip(x["s"]) != "")
 
@@ -444,8 +450,8 @@ def split_by_assertion(text: Column, start_n: Column) -> Column:
     sides = let(
         visible,
         lambda v: F.struct(
-            F.filter(v, lambda x: ~x["s"].contains("assert")).alias("plain"),
-            F.filter(v, lambda x: x["s"].contains("assert")).alias("asserting"),
+            F.filter(v, lambda x: ~x["asserts"]).alias("plain"),
+            F.filter(v, lambda x: x["asserts"]).alias("asserting"),
         ),
     )
     return let(sides, entries)

@@ -123,14 +123,20 @@ def first_assertion(code: Column, skip_comments: bool = False) -> Column:
     return F.regexp_extract(source, C.SHORT_ASSERTION, 0)
 
 
-def longest_assertion(code: Column) -> Column:
+def longest_assertion(code: Column, skip_comments: bool = False) -> Column:
     """First line with an assertion, longest reading on it; empty when none."""
-    return F.regexp_extract(code, C.LONG_ASSERTION, 0)
+    source = line_comments_out(code) if skip_comments else code
+    return F.regexp_extract(source, C.LONG_ASSERTION, 0)
+
+
+def place_of(code: Column, part: Column, skip_comments: bool = False) -> Column:
+    """Where ``part`` first stands in the code, from 1; with ``skip_comments`` not counting what is commented out."""
+    return F.instr(line_comments_out(code) if skip_comments else code, part)
 
 
-def before(text: Column, part: Column) -> Column:
+def before(text: Column, part: Column, skip_comments: bool = False) -> Column:
     """Text in front of the first occurrence of ``part``."""
-    return F.substring(text, F.lit(1), F.instr(text, part) - 1)
+    return F.substring(text, F.lit(1), place_of(text, part, skip_comments) - 1)
 
 
 def prefix_lines(code: Column, assertion: Column, searched: Column | None = None) -> Column:

@@ -32,27 +32,23 @@ def outcome_diff(outcomes: DataFrame) -> DataFrame:
 def apply_oracles(tests: DataFrame, replacements: DataFrame, keys: list[str]) -> DataFrame:
     """Put a supplied assertion in place of the old one, in the column and in the test text.
 
-    tests carries text and assertion; replacements carries keys and new_assertion.
-    Of several replacements for one key the least, as text, counts.
+    tests carries text, assertion and assertion_at, the place of the assertion
+    in the text; without that column the first place with the same words is
+    taken. replacements carries keys and new_assertion. Of several
+    replacements for one key the least, as text, counts.
     """
     given = replacements.groupBy(*keys).agg(F.min("new_assertion").alias("new_assertion"))
     joined = tests.join(given, keys, "left")
+    at = F.col("assertion_at") if "assertion_at" in tests.columns else F.instr("text", F.col("assertion"))
+    edited = F.concat(
+        F.substring("text", F.lit(1), at - 1), F.col("new_assertion"),
+        F.substring("text", at + F.length("assertion"), F.length("text")),
+    )
     return joined.select(
         *keys,
         F.coalesce("new_assertion", "assertion").alias("assertion"),
         F.col("new_assertion").isNotNull().alias("replaced"),
-        F.when(
-            F.col("new_assertion").isNotNull(),
-            F.concat(
-                F.substring("text", F.lit(1), F.instr("text", F.col("assertion")) - 1),
-                F.col("new_assertion"),
-                F.substring(
-                    "text",
-                    F.instr("text", F.col("assertion")) + F.length("assertion"),
-                    F.length("text"),
-                ),
-            ),
-        ).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("new_assertion").isNotNull(), edited).otherwise(F.col("text")).alias("text"),
     )
 
 

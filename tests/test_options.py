@@ -1,0 +1,89 @@
+"""Options of the two corpora: comments, test names, order of calls; edits at the place of an assertion."""
+
+from pyspark.sql import functions as F
+from test_cli import lay_out, lines
+
+from proofmill import cli
+from proofmill.operators import outcomes, splits
+from proofmill.plans import first_assertion, per_assertion
+
+TEST = """package p;
+public class AEvoSuiteTest {
+  @Test
+  public void test0() {
+    A a = new A(1);
+    //assertEquals(1, a.get());
+    a.f(a.g()).h();
+    assertEquals(1, a.get()); // see assertTrue(x)
+  }
+  @Test
+  public void helper() {
+    A a = new A(2);
+    assertTrue(a.f(2));
+  }
+}
+"""
+SOURCE = """package p;
+public class A {
+  public A(int k) { }
+  public int get() { return 1; }
+  public A f(int k) { return this; }
+  public int g() { return 2; }
+  public A h() { return this; }
+}
+"""
+TREE = {"1_a/evosuite-tests/p/AEvoSuiteTest.java": TEST, "1_a/src/main/java/p/A.java": SOURCE}
+
+
+def test_comments_and_names_in_the_first_corpus(files):
+    def got(**options):
+        rows = first_assertion.samples(files(TREE), **options).orderBy("ordinal").collect()
+        return [(r.assertion, "assertEquals" in r.prefix_focal.split('"<AssertPlaceHolder>"')[0]) for r in rows]
+
+    assert got() == [("assertEquals ( 1 , a . get ( ) )", False), ("assertTrue ( a . f ( 2 ) )", False)]
+    assert got(skip_comments=True) == [("assertEquals ( 1 , a . get ( ) )", True), ("assertTrue ( a . f ( 2 ) )", False)]
+    assert got(named_only=True) == got()[:1]
+
+
+def test_comments_in_the_second_corpus(files):
+    def got(skip):
+        stages = per_assertion.run(files(TREE), skip_comments=skip)
+        rows = per_assertion.samples(stages.splits, skip).filter("ordinal = 0").orderBy("split_no").collect()
+        return [(r.assertion, r.prefix_focal.split('"<AssertPlaceHolder>"')[0].strip()) for r in rows]
+
+    plain, skipped = got(False), got(True)
+    assert len(plain) == 2 and len(skipped) == 1
+    assert skipped[0][0] == "assertEquals ( 1 , a . get ( ) )"
+    assert skipped[0][1].endswith("a . f ( a . g ( ) ) . h ( ) ;")
+
+
+def test_order_of_calls_decides_the_focal_method(files):
+    test = TEST.replace("assertEquals(1, a.get()); // see assertTrue(x)", "assertTrue(true);").replace("    //assertEquals(1, a.get());\n", "")
+
+    def focal(tree_order):
+        rows = first_assertion.samples(files(TREE | {"1_a/evosuite-tests/p/AEvoSuiteTest.java": test}), named_only=True, tree_order=tree_order)
+        return rows.first().prefix_focal.split('"<FocalMethod>"')[1].split()[:2]
+
+    assert focal(False) == ["A", "h"] and focal(True) == ["int", "g"]
+
+
+def test_replacement_leaves_the_commented_twin(spark):
+    rows = [("p", 0, "void t() {\n  //assertTrue(x);\n  a();\n  assertTrue(x); // assertTrue(x);\n}")]
+    tests = spark.createDataFrame(rows, "path string, ordinal int, text string")
+    given = spark.createDataFrame([("p", 0, "assertNull(y);")], "path string, ordinal int, new_assertion string")
+    for skip, want in (
+        (True, "void t() {\n  //assertTrue(x);\n  a();\n  assertNull(y); // assertTrue(x);\n}"),
+        (False, "void t() {\n  //assertNull(y);\n  a();\n  assertTrue(x); // assertTrue(x);\n}"),
+    ):
+        got = outcomes.apply_oracles(splits.split_at_first_assertion(tests, skip), given, ["path", "ordinal"]).first()
+        assert (got.text, got.assertion, got.replaced) == (want, "assertNull(y);", True)
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from test_corpus import TREE as WIDE
+
+    root = lay_out(tmp_path / "root")
+    cli.main(["first", root, "-o", str(tmp_path / "a"), "--skip-comments", "--named-tests", "--tree-order"], spark)
+    cli.main(["per-assert", root, "-o", str(tmp_path / "b"), "--skip-comments", "--same-package", "--tree-order"], spark)
+    assert len(lines(tmp_path / "b" / "text" / "assert")) > 0 and WIDE
+    assert spark.read.parquet(str(tmp_path / "a" / "samples")).count() > 0
