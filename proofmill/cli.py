@@ -4,6 +4,7 @@
                                               [--skip-comments] [--tree-order] [--named-tests]
     python -m proofmill.cli per-assert ROOT -o OUT ... [--same-package]
     python -m proofmill.cli combine FOLDER -o OUT
+    python -m proofmill.cli list ROOT -o OUT
 """
 
 from __future__ import annotations
@@ -66,18 +67,25 @@ def combine(spark: SparkSession, args: argparse.Namespace) -> None:
         )
 
 
+def list_tree(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Projects of a folder with their numbers of test and source files, as JSON lines; no file is opened."""
+    listed = trees.list_project_tree(spark, args.root, args.suffix)
+    FO.project_counts(listed).write.json(args.output)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="proofmill")
     commands = parser.add_subparsers(required=True)
-    for name, run in (("first", build_first), ("per-assert", build_per_assertion), ("combine", combine)):
+    for name, run in (("first", build_first), ("per-assert", build_per_assertion), ("combine", combine), ("list", list_tree)):
         command = commands.add_parser(name, help=run.__doc__)
         command.set_defaults(run=run)
         command.add_argument("root")
         command.add_argument("-o", "--output", required=True)
         if run is not combine:
+            command.add_argument("--suffix", default=C.TEST_SUFFIX)
+        if run in (build_first, build_per_assertion):
             command.add_argument("--projects", nargs="+")
             command.add_argument("--sample-projects", action="store_true")
-            command.add_argument("--suffix", default=C.TEST_SUFFIX)
             command.add_argument("--skip-comments", action="store_true", help="pass over assertions that are commented out")
             command.add_argument("--tree-order", action="store_true", help="look at calls in the order of a syntax tree")
         if run is build_first:

@@ -36,6 +36,25 @@ def _below(file: Column, root: str) -> Column:
     )
 
 
+def _kind(path: Column, suffix: str) -> Column:
+    return F.when(lies_in(path, C.TEST_DIR) & path.endswith(f"{suffix}.java"), "test").when(
+        lies_in(path, C.SOURCE_DIR), "src"
+    )
+
+
+def list_project_tree(spark: SparkSession, root: str, suffix: str = C.TEST_SUFFIX) -> DataFrame:
+    """project, path, kind, size of the test and source files below ``root``; no file is opened."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.java").load(root)
+    )
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    listed = files.select(_below(path, root).alias("path"), F.col("length").alias("size"))
+    return listed.select(
+        F.substring_index("path", "/", 1).alias("project"), "path", _kind(F.col("path"), suffix).alias("kind"), "size"
+    ).filter("kind IS NOT NULL")
+
+
 def scan_project_tree(spark: SparkSession, root: str, suffix: str = C.TEST_SUFFIX) -> DataFrame:
     """project, path, kind, content of the test and source files below ``root``.
 
@@ -43,11 +62,8 @@ def scan_project_tree(spark: SparkSession, root: str, suffix: str = C.TEST_SUFFI
     folder, sources below the source folder.
     """
     files = _whole(spark, root, "*.java").withColumn("path", _below(F.col("file"), root))
-    kind = F.when(
-        lies_in(F.col("path"), C.TEST_DIR) & F.col("path").endswith(f"{suffix}.java"), "test"
-    ).when(lies_in(F.col("path"), C.SOURCE_DIR), "src")
     return files.select(
-        F.substring_index("path", "/", 1).alias("project"), "path", kind.alias("kind"), "content"
+        F.substring_index("path", "/", 1).alias("project"), "path", _kind(F.col("path"), suffix).alias("kind"), "content"
     ).filter("kind IS NOT NULL")
 
 
