@@ -7,7 +7,8 @@ the model is to learn: the speaker's own words with the mark that ends them.
 Turns stand in the order of turn number (null last), role and text, nulls as empty, repeats one after the other. Long
 dialogues are rendered in parts: a part holds turns whose numbers share a run of ``part_turns``, and as many at
 most, so no task gathers a whole dialogue however long it is, and the parts of a dialogue in order hold every turn.
-A null role is named ``unknown``. Marks inside a text are broken by a backslash, so none can be forged. A
+A null role is named ``unknown``. Marks inside a text or a role are broken by a backslash, and line ends in a
+role are written as escapes, so no mark and no turn can be forged. A
 dialogue of the system alone has no participant and no row. Rows of a null dialogue id form one dialogue.
 """
 
@@ -21,16 +22,21 @@ SYSTEM, UNKNOWN = "system", "unknown"
 PART_TURNS = 256
 
 
+def unforged(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
+
+
 def rendered(turn: Column, speaker: Column) -> tuple[Column, Column]:
     """Head and body of one turn seen by the speaker."""
     role = turn["role"]
-    name = F.when(role == SYSTEM, F.lit(SYSTEM)).when(role == speaker, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), role))
+    shown = F.replace(F.replace(unforged(role), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    name = F.when(role == SYSTEM, F.lit(SYSTEM)).when(role == speaker, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), shown))
     return F.concat(F.lit(BEGIN), name, F.lit("\n")), F.concat(turn["text"], F.lit(STOP))
 
 
 def rotate(turns: DataFrame, key: str = "conv_id", part_turns: int = PART_TURNS) -> DataFrame:
     """``conv_id, speaker, first_turn, part, n_turns, text, mask``; mask has ``start-end`` spans, end excluded."""
-    safe = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    safe = unforged(F.coalesce(F.col("text"), F.lit("")))
     rows = turns.select(
         F.struct(F.col(key).alias("id")).alias("conv"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit(UNKNOWN)).alias("role"), safe.alias("text"),

@@ -22,8 +22,8 @@ this and the counting change the order of shingles, never the result. Lists of a
 are not gathered: they are sorted runs, of which windows hold what fits in memory.
 
 A text without words, and a null text, has an empty set and links with nothing. A text of one to four words has
-one shingle, the whole of it. Repeated rows are equal sets. A row with a null id has the component of the
-sets equal to its own, null if there is none with an id. Sets are compared by 64-bit hashes of shingles, and told apart by a 64-bit hash of the set.
+one shingle, the whole of it. Repeated rows are equal sets. Rows with a null id link like others; their
+component's id is null if no row of it has an id. Sets are compared by 64-bit hashes of shingles, and told apart by a 64-bit hash of the set.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 
 def read_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, sid, n, bits`` of each text (no sid without words); where ``doc`` is false, a shingle as sid and its count in a task."""
+    """``doc_id, place, sid, n, bits`` of each text (no sid without words); where ``doc`` is false, a shingle as sid and its count in a task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -98,17 +98,17 @@ def read_sets(docs: DataFrame) -> DataFrame:
             shingle, count = np.unique(np.concatenate(held), return_counts=True)
             shingle, count = shingle[count >= PASSED_ON], count[count >= PASSED_ON]
             none = [None] * len(shingle)
-            return rows([False] * len(shingle), none, shingle.view(np.int64), count, none)
+            return rows([False] * len(shingle), none, none, shingle.view(np.int64), count, none)
 
         def rows(*columns) -> pa.RecordBatch:
-            types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "doc_id", "sid", "n", "bits"])
+            types = (pa.bool_(), *[pa.int64()] * 4, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "doc_id", "place", "sid", "n", "bits"])
 
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
+            ids, places, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             for first, run in steps(batch.column(1).to_pylist()):
                 for k, s in enumerate(shingle_sets(run)):
-                    out.append((ids[first + k], identity(s) if len(s) else None, len(s), bitmap(s)))
+                    out.append((ids[first + k], places[first + k], identity(s) if len(s) else None, len(s), bitmap(s)))
                     if len(s):
                         held.append(s)
                         size += len(s)
@@ -120,7 +120,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
         if held:
             yield counts()
 
-    return docs.mapInArrow(scan, "doc boolean, doc_id long, sid long, n long, bits binary")
+    return docs.mapInArrow(scan, "doc boolean, doc_id long, place long, sid long, n long, bits binary")
 
 
 def list_sets(docs: DataFrame, frequent: dict[str, np.ndarray], small: int, percent: int) -> DataFrame:
@@ -174,7 +174,7 @@ def list_sets(docs: DataFrame, frequent: dict[str, np.ndarray], small: int, perc
 
 
 def whole_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``sid, set`` (packed hashes) for the documents of ``doc_id, sid``; a repeated document comes as often.
+    """``sid, set`` (packed hashes) for the documents of ``sid, doc_id, place``; a repeated document comes as often.
 
     Only documents that may be asked for are read into sets; the join makes it exact.
     """
@@ -183,10 +183,17 @@ def whole_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [s for _, run in steps(batch.column(1).to_pylist()) for s in shingle_sets(run)]
             sids = pa.array([identity(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sid", "set"])
+            packed = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sids, packed], ["doc_id", "place", "sid", "set"])
 
-    maybe = docs.filter(id_filter(asked.select("doc_id"))(F.col("doc_id")))
-    return maybe.mapInArrow(scan, "doc_id long, sid long, set binary").join(asked, ["doc_id", "sid"]).select("sid", "set")
+    may = id_filter(asked.select("doc_id").filter("doc_id IS NOT NULL"))(F.col("doc_id"))
+    without_id = asked.filter("doc_id IS NULL").select("place")
+    if not without_id.isEmpty():
+        may = may | id_filter(without_id)(F.col("place"))
+    found = docs.filter(may).mapInArrow(scan, "doc_id long, place long, sid long, set binary")
+    keys = asked.select("sid", F.col("doc_id").alias("_id"), F.col("place").alias("_place"))
+    same = (F.col("doc_id") == F.col("_id")) | (F.col("_id").isNull() & F.col("doc_id").isNull() & (F.col("place") == F.col("_place")))
+    return found.join(keys, "sid").filter(same).select("sid", "set")
 
 
 def both_ends(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -215,7 +222,10 @@ def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, keepers: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that link."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sets = written_once(whole_sets(docs, written_once(ends.join(keepers, "sid"), "asked")), "whole")
+    asked = written_once(ends.join(keepers, "sid"), "asked")
+    sets = written_once(whole_sets(docs, asked), "whole")
+    if sets.count() > asked.count():  # repeated rows
+        sets = sets.groupBy("sid").agg(F.first("set").alias("set"))
 
     @F.arrow_udf("boolean")
     def link(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -233,6 +243,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """``doc_id, n_shingles, component_id`` for each document."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # rows without an id are found again by their text
+    docs = docs.withColumn("place", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     read = written_once(read_sets(docs), "sets")
     facts = read.filter("doc")
     counted = read.filter("NOT doc").groupBy("sid").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
@@ -270,7 +282,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     may = enough(F.least("e", "h.e"), "n", "h.n") & (F.greatest("n", "h.n") > small) & (F.col("sid") != F.col("h.sid"))
     stars = written_once(stars.filter(may).select(F.least("sid", "h.sid").alias("a"), F.greatest("sid", "h.sid").alias("b")).distinct(), "stars")
 
-    keepers = facts.filter("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    keepers = facts.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"))
     likely = written_once(possible(stars, facts, percent), "likely")
     links = written_once(sure.unionByName(verified(likely, docs, keepers, percent)), "links")
     labels = components(links)

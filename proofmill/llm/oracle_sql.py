@@ -30,7 +30,7 @@ WITH t AS (
 ), s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM t WHERE role <> 'system'),
 r AS (
   SELECT conv_id, run, place, CAST(floor(place / 256) AS INTEGER) AS part, turn, speaker, role = speaker AS own,
-         '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
+         '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || replace(replace(replace(role, '<|', '<\\|'), chr(10), '\\n'), chr(13), '\\r') END || chr(10) AS head,
          text || '<|im_end|>' AS body
   FROM p JOIN s ON conv_id IS NOT DISTINCT FROM c
 ), b AS (

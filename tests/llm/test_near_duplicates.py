@@ -89,3 +89,28 @@ def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(links).collect()}
     assert got == {**{k: 0 for k in range(301)}, 1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("bridge, want", [(None, 1), (9, 1)])
+def test_links_through_a_row_without_an_id(spark, bridge, want):
+    words = [f"w{k}" for k in range(60)]
+    texts = [words, [*words[:-7], *(f"x{k}" for k in range(7))], ["y0", "y1", "y2", "y3", "y4", "y5", "y6", *words[7:-7], *(f"x{k}" for k in range(7))]]
+    rows = [(i, " ".join(t)) for i, t in zip((1, bridge, 2), texts)]
+    linked = [100 * len(shingles(x) & shingles(y)) >= 75 * len(shingles(x) | shingles(y)) for (_, x), (_, y) in zip(rows, rows[1:] + rows[:1])]
+    assert linked == [True, True, False]
+    got = near_duplicates(spark.createDataFrame(rows + [(None, "alone " * 9)], "doc_id long, text string")).collect()
+    assert sorted(r["component_id"] for r in got if r["component_id"] is not None) == [want] * 3
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == ([1, None] if bridge is None else [None])
+
+
+def test_repeats_stay_linear(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words))] * 2000 + [(2, " ".join([*words[:-4], "a", "b", "c", "d"]))] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sets = jaccard_join.whole_sets(
+        df.selectExpr("doc_id", "text", "CAST(NULL AS LONG) AS place"),
+        near_duplicates(df).limit(0).selectExpr("n_shingles AS sid", "doc_id", "doc_id AS place"),
+    )
+    assert sets.collect() == []
+    got = near_duplicates(df).collect()
+    assert len(got) == 4000 and {r["component_id"] for r in got} == {1}
