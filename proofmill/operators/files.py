@@ -99,6 +99,13 @@ def class_fqn(path: Column) -> Column:
     return F.replace(F.regexp_replace(inner, r"\.java$", ""), F.lit("/"), F.lit("."))
 
 
+def readable(files: DataFrame) -> DataFrame:
+    """``path, parses``: whether a file can be read, without its members, imports or doc comments."""
+    folded = computed_once(files.select("path", "content"), "structure", java.read_structure(F.col("content")))
+    typed = computed_once(folded, "first_type", java.first_type(F.col("structure")))
+    return typed.select("path", java.parses(F.col("structure"), F.col("first_type")).alias("parses"))
+
+
 def read_files(files: DataFrame) -> DataFrame:
     """Read the structure of every file inside its own row; no shuffle.
 

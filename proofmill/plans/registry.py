@@ -415,7 +415,7 @@ def meta_rows(spark, d):
 
 
 def reject_counts(spark, d):
-    return per_assertion.reject_counts(per_assertion.run(starcode.code_files(spark, d), resolve=False))
+    return per_assertion.count_rejects(starcode.code_files(spark, d))
 
 
 def input_count(spark, d):
