@@ -14,6 +14,11 @@ total length, and only these are shuffled. Chunked framing is taken off last.
 A null payload is the empty one. A null id is written and read as null, and comes after all others when
 the smallest is sought. Repeated rows are records of their own; of equal ids the first row read is the
 response. An origin with a missing segment or a wrong length gives a row with ``complete`` false and no payload.
+
+Broken archives stop nothing. A record without a type, identifier or right length, with a wrong chunk length, or in a
+file that is cut short or damaged gives a row with ``complete`` false, no payload, and as much of its header as
+was read (all null, if none); reading goes on at the next line that begins a record. Bytes between records that belong
+to none give one such row for each run of them.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +39,8 @@ END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:page:"
 RECORD = "record_id string, record_type string, refers_to string, origin_id string, segment int, total long, digest string, block binary, payload binary, payload_bytes long"
+BEGINS = re.compile(rb"WARC/\d\.\d\s*$")
+DAMAGE = (EOFError, OSError, zlib.error)
 
 
 def lines(*fields: Column | str) -> Column:
@@ -105,23 +114,70 @@ def write_warc(
     ).text(path)
 
 
-def records_of(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields, in lower case, and block of each record of a gzipped file."""
-    with gzip.GzipFile(fileobj=io.BytesIO(content)) as file:
-        while line := file.readline():
-            if line.strip() == b"":
-                continue
-            if not line.startswith(b"WARC/"):
-                raise ValueError(f"no WARC record at {file.tell() - len(line)}")
-            fields = {}
-            while (line := file.readline().rstrip(b"\r\n")) != b"":
-                name, _, value = line.decode("utf-8", "replace").partition(":")
-                fields[name.strip().lower()] = value.strip()
-            size = int(fields["content-length"])
-            block = file.read(size)
-            if len(block) != size or file.read(4) != b"\r\n\r\n":
-                raise ValueError(f"record {fields.get('warc-record-id')} is cut short")
-            yield fields, block
+class Returning:
+    """A stream to which bytes that were read can be given back."""
+
+    def __init__(self, stream: io.BufferedIOBase):
+        self.stream, self.back = stream, io.BytesIO()
+
+    def give_back(self, data: bytes) -> None:
+        self.back = io.BytesIO(data + self.back.read())
+
+    def readline(self) -> bytes:
+        line = self.back.readline()
+        return line if line.endswith(b"\n") else line + self.stream.readline()
+
+    def read(self, size: int) -> bytes:
+        """At most ``size`` bytes, a megabyte at a time: a stated length is no reason to ask for the memory."""
+        parts = [self.back.read(size)]
+        size -= len(parts[0])
+        while size and (part := self.stream.read(min(size, 1 << 20))):
+            parts.append(part)
+            size -= len(part)
+        return b"".join(parts)
+
+
+def whole_number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
+def records_of(content: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Header fields, in lower case, and block of each record of a gzipped file; the block of a broken one is None."""
+    fields: dict[str, str] = {}
+    lost = False  # whether what is read belongs to a broken record that has its row
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as stream:
+        file = Returning(stream)
+        try:
+            while line := file.readline():
+                if line.strip() == b"":
+                    continue
+                fields = {}
+                if not BEGINS.match(line):
+                    if not lost:
+                        yield {}, None
+                    lost = True
+                    continue
+                while line := file.readline():
+                    if BEGINS.match(line):  # a header that breaks off
+                        file.give_back(line)
+                    if BEGINS.match(line) or not line.strip():
+                        break
+                    name, _, value = line.decode("utf-8", "replace").partition(":")
+                    fields[name.strip().lower()] = value.strip()
+                size, block, end = whole_number(fields.get("content-length")), b"", b""
+                if size is not None and not BEGINS.match(line):
+                    block, end = file.read(size), file.read(4)
+                if size is not None and len(block) == size and end == b"\r\n\r\n" and {"warc-type", "warc-record-id"} <= fields.keys():
+                    yield fields, block
+                    lost = False
+                else:
+                    file.give_back(block + end)
+                    if "warc-record-id" in fields or not lost:
+                        yield fields, None
+                    lost = True
+        except DAMAGE:
+            if "warc-record-id" in fields or not lost:
+                yield fields, None
 
 
 def decoded(block: bytes) -> bytes:
@@ -141,6 +197,14 @@ def decoded(block: bytes) -> bytes:
         at = end + 4 + size
 
 
+def payload_of(block: bytes | None) -> bytes | None:
+    """As :func:`decoded`, None for broken framing."""
+    try:
+        return None if block is None else decoded(block)
+    except ValueError:
+        return None
+
+
 def bare(value: str | None) -> str | None:
     return value.strip("<>") if value else None
 
@@ -157,16 +221,20 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
             for content in batch.column(0):
                 rows, size = [], 0
                 for fields, block in records_of(content.as_py()):
-                    number = fields.get("warc-segment-number")
-                    kind, origin = fields["warc-type"], bare(fields.get("warc-segment-origin-id")) or bare(fields["warc-record-id"])
-                    whole = decoded(block) if number is None and kind == "response" else None
-                    digest = hashlib.sha256(whole).hexdigest() if whole is not None else fields.get("warc-payload-digest", "").removeprefix("sha256:")
+                    number, kind = whole_number(fields.get("warc-segment-number")), fields.get("warc-type")
+                    record = bare(fields.get("warc-record-id"))
+                    whole = payload_of(block) if number is None and kind == "response" else None
+                    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
+                    if whole is not None:
+                        digest = hashlib.sha256(whole).hexdigest()
+                    elif block is None or number is None and kind == "response":
+                        digest = None
                     rows.append((
-                        bare(fields["warc-record-id"]), kind, bare(fields.get("warc-refers-to")), origin,
-                        int(number) if number else None, int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None,
+                        record, kind, bare(fields.get("warc-refers-to")), bare(fields.get("warc-segment-origin-id")) or record,
+                        number, whole_number(fields.get("warc-segment-total-length")),
                         digest, block if number else None, whole if payloads else None, None if whole is None else len(whole),
                     ))
-                    size += len(block)
+                    size += len(block or b"")
                     if size > 8_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                         rows, size = [], 0
@@ -189,12 +257,11 @@ def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
         out = []
         for row, total in zip(parts, totals.to_pylist()):
             row = row.as_py()
-            block = b"".join(p["block"] for p in row)
-            if [p["segment"] for p in row] != list(range(1, len(row) + 1)) or len(block) != total:
-                out.append({})
-                continue
-            payload = decoded(block)
-            out.append({"digest": hashlib.sha256(payload).hexdigest(), "payload": payload if payloads else None, "payload_bytes": len(payload)})
+            block = b"".join(p["block"] or b"" for p in row)
+            payload = None
+            if [p["segment"] for p in row] == list(range(1, len(row) + 1)) and len(block) == total:
+                payload = payload_of(block)
+            out.append({} if payload is None else {"digest": hashlib.sha256(payload).hexdigest(), "payload": payload if payloads else None, "payload_bytes": len(payload)})
         return pa.array(out, pa.struct([("digest", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64())]))
 
     whole = grouped.withColumn("p", joined("parts", "total")).select(
@@ -202,12 +269,14 @@ def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     )
     single = records.filter(F.col("segment").isNull()).select("record_id", "record_type", "refers_to", "digest", "payload", "payload_bytes")
     both = single.unionByName(whole)
-    return both.withColumn("complete", (F.col("record_type") == "revisit") | F.col("payload_bytes").isNotNull())
+    revisit = F.col("record_type").eqNullSafe("revisit") & F.col("digest").isNotNull()
+    return both.withColumn("complete", revisit | F.col("payload_bytes").isNotNull())
 
 
 def resolved(rows: DataFrame) -> DataFrame:
     """Give revisits the length of what they refer to."""
-    revisits, others = rows.filter("record_type = 'revisit'").drop("payload_bytes"), rows.filter("record_type <> 'revisit'")
+    again = F.col("record_type").eqNullSafe("revisit")
+    revisits, others = rows.filter(again).drop("payload_bytes"), rows.filter(~again)
     asked = revisits.select(F.col("refers_to").alias("record_id")).distinct()
     lengths = others.join(asked, "record_id", "left_semi").select(F.col("record_id").alias("refers_to"), "payload_bytes")
     return others.unionByName(salted(revisits, lengths, "refers_to", F.col("record_id")))
