@@ -41,22 +41,35 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(value, starts - starts[0])), edges
 
 
-def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[str], also: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text.
+
+    With ``also``, widths below five, a text's runs of so many words are in its set too, each
+    with the hash that a text of just these words has.
+    """
     words, edges = word_hashes(texts)
     n = max(0, len(words) - WIDTH + 1)
     every = np.full(n, ODD[WIDTH + 1], np.uint64)
     for j in range(WIDTH):
         every += words[j : n + j] * ODD[j]
     every = mixed(every)
+    runs = {width: short_runs(words, width) for width in also}
     for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
         if last - first >= WIDTH:
-            yield np.unique(every[first : last - WIDTH + 1])
+            own = every[first : last - WIDTH + 1]
         elif last > first:
-            total = np.uint64(last - first)
-            with np.errstate(over="ignore"):
-                for j in range(last - first):
-                    total = total + words[first + j] * ODD[j]
-            yield mixed(np.array([total]))
+            own = short_runs(words[first:last], last - first)
         else:
-            yield words[:0]
+            own = words[:0]
+        if runs and last > first:
+            own = np.concatenate([own, *(of[first : last - width + 1] for width, of in runs.items() if width <= last - first)])
+        yield np.unique(own)
+
+
+def short_runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words, fewer than five."""
+    n = max(0, len(words) - width + 1)
+    total = np.full(n, width, np.uint64)
+    for j in range(width):
+        total += words[j : n + j] * ODD[j]
+    return mixed(total)
