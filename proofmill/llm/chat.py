@@ -7,6 +7,8 @@ the model is to learn: the speaker's own words with the mark that ends them.
 Turns stand in the order of turn number (null last), role and text, nulls as empty, repeats one after the other. Long
 dialogues are rendered in parts: a part holds turns whose numbers share a run of ``part_turns``, and as many at
 most, so no task gathers a whole dialogue however long it is, and the parts of a dialogue in order hold every turn.
+The first system turn of a dialogue opens each later part that has no system turn, as context that ``n_turns`` and ``first_turn``
+leave out, so a part can be learnt from by itself; ``repeat_system=False`` leaves parts as they are.
 A null role is named ``unknown``. Marks inside a text or a role are broken by a backslash, and line ends in a
 role are written as escapes, so no mark and no turn can be forged. A
 dialogue of the system alone has no participant and no row. Rows of a null dialogue id form one dialogue.
@@ -34,7 +36,7 @@ def rendered(turn: Column, speaker: Column) -> tuple[Column, Column]:
     return F.concat(F.lit(BEGIN), name, F.lit("\n")), F.concat(turn["text"], F.lit(STOP))
 
 
-def rotate(turns: DataFrame, key: str = "conv_id", part_turns: int = PART_TURNS) -> DataFrame:
+def rotate(turns: DataFrame, key: str = "conv_id", part_turns: int = PART_TURNS, repeat_system: bool = True) -> DataFrame:
     """``conv_id, speaker, first_turn, part, n_turns, text, mask``; mask has ``start-end`` spans, end excluded."""
     safe = unforged(F.coalesce(F.col("text"), F.lit("")))
     rows = turns.select(
@@ -46,8 +48,18 @@ def rotate(turns: DataFrame, key: str = "conv_id", part_turns: int = PART_TURNS)
     parts = placed.groupBy("conv", "run", "part").agg(
         F.array_sort(F.collect_list(F.struct("at", "turn", "role", "text"))).alias("turns")
     )
-    speakers = rows.filter(F.col("role") != SYSTEM).groupBy("conv").agg(F.array_sort(F.collect_set("role")).alias("speakers"))
-    seen = parts.join(speakers, "conv").withColumn("speaker", F.explode("speakers"))
+    is_system = F.col("role") == SYSTEM
+    opening = F.struct(F.col("turn").isNull().alias("late"), "turn", "text")
+    speakers = rows.groupBy("conv").agg(
+        F.array_sort(F.collect_set(F.when(~is_system, F.col("role")))).alias("speakers"), F.min(F.when(is_system, opening)).alias("opening")
+    )
+    first = F.element_at("turns", 1)["turn"]
+    after = ~F.exists("turns", lambda t: t["role"] == SYSTEM) & ~F.col("opening.late") & (first.isNull() | (first > F.col("opening.turn")))
+    context = F.struct(F.lit(-1).alias("at"), F.col("opening.turn").alias("turn"), F.lit(SYSTEM).alias("role"), F.col("opening.text").alias("text"))
+    seen = parts.join(speakers, "conv").withColumn("own_turns", F.size("turns")).withColumn("first_turn", first)
+    if repeat_system:
+        seen = seen.withColumn("turns", F.when(after, F.concat(F.array(context), "turns")).otherwise(F.col("turns")))
+    seen = seen.withColumn("speaker", F.explode("speakers"))
     speaker = F.col("speaker")
     pieces = F.transform("turns", lambda t: F.struct(
         rendered(t, speaker)[0].alias("head"), rendered(t, speaker)[1].alias("body"), (t["role"] == speaker).alias("own")
@@ -62,7 +74,7 @@ def rotate(turns: DataFrame, key: str = "conv_id", part_turns: int = PART_TURNS)
     return (
         seen.withColumn("pieces", pieces).withColumn("lengths", lengths).withColumn("begins", begins)
         .select(
-            F.col("conv.id").alias(key), "speaker", F.element_at("turns", 1)["turn"].alias("first_turn"), "part",
-            F.size("turns").alias("n_turns"), text.alias("text"), F.array_join(spans, " ").alias("mask"),
+            F.col("conv.id").alias(key), "speaker", "first_turn", "part",
+            F.col("own_turns").alias("n_turns"), text.alias("text"), F.array_join(spans, " ").alias("mask"),
         )
     )

@@ -28,28 +28,45 @@ WITH t AS (
 ), p AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn NULLS LAST, role, text) - 1 AS place FROM t
 ), s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM t WHERE role <> 'system'),
-r AS (
-  SELECT conv_id, run, place, CAST(floor(place / 256) AS INTEGER) AS part, turn, speaker, role = speaker AS own,
+g AS (
+  SELECT conv_id, run, CAST(floor(place / 256) AS INTEGER) AS part, arg_min_null(turn, place) AS first_turn, CAST(count(*) AS INTEGER) AS n_turns,
+         bool_or(role = 'system') AS has_system
+  FROM p GROUP BY ALL
+), o AS (
+  SELECT conv_id, turn, text FROM t WHERE role = 'system'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, text) = 1
+), q AS (
+  SELECT conv_id, run, CAST(floor(place / 256) AS INTEGER) AS part, place, role, text FROM p
+  UNION ALL
+  SELECT g.conv_id, run, part, -1, 'system', text FROM g JOIN o ON g.conv_id IS NOT DISTINCT FROM o.conv_id
+  WHERE NOT has_system AND turn IS NOT NULL AND (first_turn IS NULL OR first_turn > turn)
+), r AS (
+  SELECT conv_id, run, place, part, speaker, role = speaker AS own,
          '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || replace(replace(replace(role, '<|', '<\\|'), chr(10), '\\n'), chr(13), '\\r') END || chr(10) AS head,
          text || '<|im_end|>' AS body
-  FROM p JOIN s ON conv_id IS NOT DISTINCT FROM c
+  FROM q JOIN s ON conv_id IS NOT DISTINCT FROM c
 ), b AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
     PARTITION BY conv_id, speaker, run, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM r
+), a AS (
+  SELECT conv_id, speaker, run, part, string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+         coalesce(string_agg(CAST(CAST(begins + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begins + length(head) + length(body) AS BIGINT) AS VARCHAR), ' ' ORDER BY place) FILTER (own), '') AS mask
+  FROM b GROUP BY conv_id, speaker, run, part
 )
-SELECT conv_id, speaker, arg_min(turn, place) AS first_turn, part, CAST(count(*) AS INTEGER) AS n_turns,
-       string_agg(head || body || chr(10), '' ORDER BY place) AS text,
-       coalesce(string_agg(CAST(CAST(begins + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begins + length(head) + length(body) AS BIGINT) AS VARCHAR), ' ' ORDER BY place) FILTER (own), '') AS mask
-FROM b GROUP BY conv_id, speaker, run, part
+SELECT a.conv_id, speaker, first_turn, a.part, n_turns, text, mask
+FROM a JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id AND a.run IS NOT DISTINCT FROM g.run AND a.part = g.part
 """
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
 i AS (SELECT DISTINCT item_id, text FROM benchmark),
 b AS (SELECT item_id, text, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM i),
-ds AS (SELECT DISTINCT r, doc_id, unnest([array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM d WHERE len(w) >= 5),
-bs AS (SELECT DISTINCT item_id, text, unnest([array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM b WHERE len(w) >= 5),
+ds AS (SELECT DISTINCT r, doc_id, unnest([array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM d WHERE len(w) >= 5
+  UNION ALL SELECT DISTINCT r, doc_id, unnest([array_to_string(w[k : k + n - 1], ' ') FOR k IN range(1, len(w) - n + 2)]) AS s
+  FROM d, (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND 4) WHERE len(w) >= n),
+bs AS (SELECT DISTINCT item_id, text, unnest([array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM b WHERE len(w) >= 5
+  UNION ALL SELECT item_id, text, array_to_string(w, ' ') AS s FROM b WHERE len(w) BETWEEN 1 AND 4),
 n AS (SELECT item_id, text, count(*) AS n_item FROM bs GROUP BY ALL),
 c AS (SELECT r, doc_id, item_id, text, count(*) AS n_common FROM bs JOIN ds USING (s) GROUP BY ALL)
 SELECT doc_id, c.item_id, n_item, n_common, n_common / n_item AS containment

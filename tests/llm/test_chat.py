@@ -14,7 +14,7 @@ def test_rotation(spark):
     begin, end = map(int, one["mask"].split("-"))
     assert one["text"][begin:end] == "<|im_end|>" and one["n_turns"] == 4
     assert {k[1] for k in got if k[0] == 1} == {"assistant", "bob", "unknown", "user"}
-    assert got[(1, "unknown", 0, None)]["text"] == "<|im_start|>assistant\nlate<|im_end|>\n"
+    assert got[(1, "unknown", 0, None)]["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nlate<|im_end|>\n"
     assert not [k for k in got if k[0] == 2] and got[(None, "user", 0, 0)]["n_turns"] == 1
     two = got[(3, "user", 0, 0)]
     assert [two["text"][int(a) : int(b)] for a, b in (s.split("-") for s in two["mask"].split())] == ["a<|im_end|>"] * 2
@@ -29,6 +29,23 @@ def test_long_dialogues_come_in_parts(spark):
     assert sorted(seen) == sorted(f"{t[3]}<|im_end|>" for t in rows if t[2] == "user")
 
 
+def test_every_part_has_the_system_turn(spark):
+    rows = [(1, 0, "system", "be kind"), (2, 15, "system", "late"), (3, None, "system", "unplaced")]
+    rows += [(c, t, "user" if t % 2 else "assistant", f"t{t}") for c in (1, 2, 3, 4) for t in range(1, 30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    head = "<|im_start|>system\nbe kind<|im_end|>\n"
+    got = [r for r in rotate(df, part_turns=10).collect() if r["speaker"] == "user"]
+    of = {c: sorted((r for r in got if r["conv_id"] == c), key=lambda r: (r["first_turn"] is None, r["first_turn"])) for c in (1, 2, 3, 4)}
+    assert [r["text"].startswith(head) for r in of[1]] == [True] * 3 and [(r["first_turn"], r["n_turns"]) for r in of[1]] == [(0, 10), (10, 10), (20, 10)]
+    assert [r["text"].count("<|im_start|>system\nlate") for r in of[2]] == [0, 1, 1, 1]  # not before it was said
+    assert [r["text"].count("<|im_start|>system") for r in of[3]] == [0, 0, 0, 1]
+    assert not any("<|im_start|>system" in r["text"] for r in of[4])
+    for r in got:
+        assert all(r["text"][int(a) : int(b)].startswith("t") for a, b in (x.split("-") for x in r["mask"].split()))
+    plain = [r for r in rotate(df, part_turns=10, repeat_system=False).collect() if r["conv_id"] == 1 and r["speaker"] == "user"]
+    assert sum(r["text"].startswith(head) for r in plain) == 1
+
+
 def test_no_turns(spark):
     assert rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
