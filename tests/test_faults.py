@@ -123,6 +123,17 @@ def test_overall_pair_is_read_back(spark, tmp_path):
     assert got == [(k + 1, f"a{k}", f"f{k} x") for k in range(50)]
 
 
+def test_repeated_order_keys_shift_no_half(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_pairs, "LINES_PER_FILE", 9)
+    rows = [(k % 3, "p", 0, f"a{k * 7 % 60:02}", f"f{k * 7 % 60:02}") for k in range(60)]
+    df = spark.createDataFrame(rows, "project_id long, path string, ordinal int, assertion string, prefix_focal string").repartition(8)
+    for by_project in (True, False):
+        out = str(tmp_path / str(by_project))
+        text_pairs.write_pairs(df, out, ["path", "ordinal"], by_project)
+        got = [(r.assertion, r.prefix_focal) for r in text_pairs.read_pairs(spark, out, by_project).collect()]
+        assert sorted(got) == sorted((r[3], r[4]) for r in rows)
+
+
 def test_no_shared_folder_on_a_cluster():
     cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", applicationId="a"), conf=SimpleNamespace(get=lambda *_: None))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):

@@ -48,3 +48,33 @@ def test_similarity_column(spark):
     d = spark.createDataFrame([(5, "a b d")], "corpus_id long, text string")
     row = retrieval.retrieve_nearest(q, d).select(F.col("similarity")).first()
     assert row.similarity == 0.5
+
+
+def test_few_candidates_with_a_token_in_every_text(spark):
+    """Bounds keep the pairs far below queries times documents, and lose none."""
+    corpus = [(i, f"the of w{i % 50} v{i}" + " x" * (i % 3)) for i in range(600)]
+    queries = [(i, f"the of w{i % 50} u{i}") for i in range(200)] + [(900, "the"), (901, "of the")]
+    q, d = spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(corpus, "corpus_id long, text string")
+    seen = []
+    before = retrieval._candidates
+    try:
+        retrieval._candidates = lambda *frames: seen.append(before(*frames)) or seen[-1]
+        got = {r.query_id: (r.corpus_id, r.n_common, r.n_union) for r in retrieval.retrieve_nearest(q, d).collect()}
+    finally:
+        retrieval._candidates = before
+    assert got == brute(queries, corpus)
+    assert seen[0].filter("query_id < 900").count() <= len(queries) * len(corpus) / 20
+
+
+def test_bounds_from_a_sample_of_a_hot_token_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SEED_DOCS", 2)
+    rng = random.Random(8)
+    words = ["the"] * 200 + ["of"] * 150 + [f"w{i}" for i in range(30)]
+    corpus = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(300)] + [(i, None) for i in (700, 701)]
+    queries = [(i, " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(80)] + [(95, None), (96, "")]
+    got = retrieval.retrieve_nearest(
+        spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(corpus, "corpus_id long, text string")
+    )
+    found = {r.query_id: (r.corpus_id, r.n_common, r.n_union) for r in got.collect()}
+    assert found.pop(95) == found.pop(96) == (None, None, None)
+    assert found == brute([(i, t or "") for i, t in queries], [(i, t or "") for i, t in corpus])
