@@ -12,8 +12,9 @@ At prediction the average and the softmax are both linear, so each n-gram carrie
 product of its embedding and the weights, and a text is scored in one pass over its characters.
 
 Texts that are null or without any word get the score of an empty bag, the lowest of all. Rows with a
-null label teach nothing, and of several labels of one row the largest counts. Without labels of both
-kinds every score is 0.
+null label teach nothing, and of several labels of one row the largest counts. Of several texts of one id the one
+with the least hash is learned from, and none above ``longest`` characters; all texts are scored, whole. Ids that
+labels are joined by are whole numbers. Without labels of both kinds, or in an empty table, every score is 0.
 """
 
 from __future__ import annotations
@@ -91,10 +92,10 @@ class Bags:
 
 def fit(
     docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
-    per_label: int = 2500, bits: int = 19, dimension: int = 8, seed: int = 11,
+    per_label: int = 2500, longest: int = 1_000_000, bits: int = 19, dimension: int = 8, seed: int = 11,
     word_rounds: int = 6, text_rounds: int = 60,
 ) -> Model:
-    """Train on a hash sample of about ``per_label`` texts of each label, whatever the size of the input."""
+    """Train on a hash sample of about ``per_label`` texts of each label, of at most ``longest`` characters, whatever the size of the input."""
     given = (
         labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
         .groupBy(F.col(key).alias("k")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
@@ -107,6 +108,8 @@ def fit(
     chosen = given.filter(hash_share(F.col("k"), F.lit(seed)) < share)
     # about 2 * per_label keys whatever the input, so they go to the texts and not the texts to them
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    sample = sample.filter(F.coalesce(F.length("t"), F.lit(0)) <= longest)
+    sample = sample.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t"))
     return train(sample.select("k", "t", "y"), bits, dimension, seed, word_rounds, text_rounds)
 
 

@@ -61,3 +61,44 @@ def test_repeated_labels_and_rows(spark):
     model = fit(docs, labels)
     got = {r["text"]: r["s"] for r in docs.select("text", score(F.col("text"), model).alias("s")).collect()}
     assert min(s for t, s in got.items() if "bad" in t) > max(s for t, s in got.items() if "good" in t)
+
+
+def slow_score(text: str | None, model: Model, bits: int) -> float:
+    """The worst word's chance, n-gram by n-gram, in whole numbers modulo 2**64."""
+
+    def bucket(h: int) -> int:
+        return ((h ^ h >> 31) * 0x9E3779B97F4A7C15 % 2**64) >> 64 - bits
+
+    worst = None
+    for word in "".join(c.lower() if c.isalpha() or c.isdigit() else " " for c in text or "").split():
+        marked = [0, *map(ord, word), 0]
+        bag = [bucket((sum(c * 0x5851F42D4C957F2D**k for k, c in enumerate(marked)) + 97) % 2**64)]
+        for n in SIZES:
+            for at in range(len(marked) - n + 1):
+                h = 0
+                for k, c in enumerate(marked[at : at + n]):
+                    h = (h * 0x100000001B3 + c + k + 1) % 2**64
+                bag.append(bucket(h))
+        z = float(np.mean(model.weights[bag].astype(float))) + model.bias
+        worst = z if worst is None else max(worst, z)
+    return 0.0 if worst is None else 1 / (1 + np.exp(-worst))
+
+
+def test_score_against_brute_force(spark):
+    bits = 12
+    model = Model(np.random.default_rng(2).normal(0, 4, 1 << bits).astype(np.float32), -1.5)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(40).collect()]
+    texts = [t[:3000] for t in texts] + [None, "", "?! -", "a", "über-Fuß 12x", "x" * 500, "中文 字"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in df.select("i", score(F.col("text"), model).alias("s")).collect():
+        assert r["s"] == pytest.approx(slow_score(texts[r["i"]], model, bits), abs=1e-4)
+
+
+def test_sample_is_bounded(spark):
+    """Repeated ids give one text to learn from, and very long texts none; all are scored."""
+    rows = [(1, "bad word")] * 200 + [(2, "good word")] * 200 + [(3, "bad " * 2000), (4, "good thing"), (None, "bad")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0), (None, 1)], "doc_id long, toxic int")
+    model = fit(docs, labels, longest=100)
+    got = {r["text"]: r["s"] for r in docs.select("text", score(F.col("text"), model).alias("s")).collect()}
+    assert got["bad " * 2000] == pytest.approx(got["bad"]) and got["bad word"] > got["good word"]
