@@ -6,7 +6,9 @@ sum of its texts' vectors at unit length. A text gets the language of the larges
 
 n-grams are letters within a word, with one mark at either end. Texts that are null or without letters
 get ``und`` and score 0. Ties go to the language first by code point. Repeated rows are worked out
-alike. Rows without a language teach nothing; without any labelled row every text is ``und``.
+alike. Rows without a language teach nothing; without any labelled row every text is ``und``. Rows of equal
+id and text are in the sample together or not at all. Counts of n-grams are kept for a bounded number of cells, so
+texts with many distinct letters need no more memory than others.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from proofmill.llm.common import Folding, code_points, hash_share, small_batches
 UNKNOWN = "und"
 #: n-gram vectors that are held at once.
 BLOCK = 2048
+#: Counts (texts by n-grams) that are held at once, and letters whose vectors are kept.
+CELLS, LETTERS = 4_000_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -53,6 +57,8 @@ class Encoder:
     def letter(self, point: int) -> np.ndarray:
         """The vector rotated for each place of an n-gram, the last place unrotated."""
         if point not in self.known:
+            if len(self.known) >= LETTERS:
+                self.known.clear()
             base = np.random.default_rng((self.seed, point)).integers(0, 2, self.dimension, dtype=np.int8) * 2 - 1
             self.known[point] = np.stack([np.roll(base, self.order - 1 - k) for k in range(self.order)])
         return self.known[point]
@@ -80,16 +86,23 @@ class Encoder:
         if not len(codes):
             return np.zeros((len(texts), self.dimension))
         grams, gram = distinct(codes, k**n)
-        counts = np.bincount(of * np.int64(len(grams)) + gram, minlength=len(texts) * len(grams))
-        counts = counts.reshape(len(texts), len(grams)).astype(np.float32)
         table = np.stack([self.letter(int(p)) for p in alphabet])
         out = np.zeros((len(texts), self.dimension))
+        width = max(BLOCK, CELLS // len(texts) // BLOCK * BLOCK)
+        if len(grams) > width:
+            order = np.argsort(gram, kind="stable")
+            of, gram = of[order], gram[order]
         for at in range(0, len(grams), BLOCK):
+            if at % width == 0:
+                here = slice(*np.searchsorted(gram, [at, at + width])) if len(grams) > width else slice(None)
+                wide = min(width, len(grams) - at)
+                counts = np.bincount(of[here] * np.int64(wide) + gram[here] - at, minlength=len(texts) * wide)
+                counts = counts.reshape(len(texts), wide).astype(np.float32)
             rest, bound = grams[at : at + BLOCK], None
             for j in range(n - 1, -1, -1):
                 rest, digit = np.divmod(rest, k)
                 bound = table[digit, j] if bound is None else bound * table[digit, j]
-            out += counts[:, at : at + BLOCK] @ bound.astype(np.float32)
+            out += counts[:, at % width : at % width + BLOCK] @ bound.astype(np.float32)
         return out
 
 
@@ -100,7 +113,7 @@ def fit_profiles(
     """Learn a profile for each language from a hash sample of about ``per_language`` texts of each.
 
     The bound holds per language whatever the size of the input: the rows of each language are counted
-    first, and a row is in if the hash of its key is below that language's share.
+    first, and a row is in if the hash of its key and text is below that language's share.
     """
     small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
@@ -110,7 +123,7 @@ def fit_profiles(
     if not counts:
         return Profiles([], np.zeros((0, dimension)), seed, order)
     share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, per_language / n))])
-    sample = known.filter(hash_share(F.col("k"), F.lit(seed)) < share[F.col("l")]).select("l", "t")
+    sample = known.filter(hash_share(F.col("k"), F.col("t"), F.lit(seed)) < share[F.col("l")]).select("l", "t")
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sums = Encoder(dimension, seed, order), {}
@@ -126,7 +139,7 @@ def fit_profiles(
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([sums[x].tolist() for x in names])], ["l", "v"])
 
     total: dict[str, np.ndarray] = {}
-    for row in sample.repartition(tasks, "t").mapInArrow(bundles, "l string, v array<double>").collect():
+    for row in sample.repartition(tasks).mapInArrow(bundles, "l string, v array<double>").collect():
         total[row["l"]] = total.get(row["l"], 0) + np.array(row["v"])
     names = sorted(total)
     vectors = np.stack([total[x] / np.linalg.norm(total[x]) for x in names]) if names else np.zeros((0, dimension))

@@ -60,3 +60,39 @@ def test_ties_and_nothing_to_learn(spark):
     assert none.languages == []
     assert docs.select(identify(F.col("text"), none).alias("o")).first()["o"].asDict() == {"lang": "und", "score": 0.0, "margin": 0.0}
     assert docs.limit(0).select(identify(F.col("text"), none).alias("o")).collect() == []
+
+
+def test_identify_against_brute_force(spark):
+    """Profiles, cosine, choice and margin, one text and one language after the other."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    rows += [(900, None, "xx"), (901, "", None), (902, "12 3", "xx"), (903, "中文 字中", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = fit_profiles(docs, dimension=64)
+    encode = Encoder(64, profiles.seed, profiles.order)
+    bundles = {i: slow_bundle(t or "", encode) for i, t, _ in rows}
+    sums = {}
+    for i, _, lang in rows:
+        if lang is not None and bundles[i].any():
+            sums[lang] = sums.get(lang, 0) + bundles[i] / np.linalg.norm(bundles[i])
+    assert profiles.languages == sorted(sums)
+    for r in docs.select("doc_id", identify(F.col("text"), profiles).alias("o")).collect():
+        b, o = bundles[r["doc_id"]], r["o"]
+        if not b.any():
+            assert (o["lang"], o["score"], o["margin"]) == ("und", 0.0, 0.0)
+            continue
+        cosine = sorted(((b @ v / np.linalg.norm(b) / np.linalg.norm(v), x) for x, v in sums.items()), reverse=True)
+        assert abs(o["score"] - min(1, max(0, cosine[0][0]))) < 1e-5
+        assert abs(o["margin"] - (cosine[0][0] - cosine[1][0])) < 1e-5
+        assert o["lang"] == cosine[0][1] or o["margin"] < 1e-5
+
+
+def test_many_letters_are_counted_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(0x4E00 + p) for p in rng.integers(0, 3000, 400)) for _ in range(40)]
+    encode = Encoder(32, 1, 3)
+    whole = encode(texts)
+    monkeypatch.setattr("proofmill.llm.language_id.BLOCK", 64)
+    monkeypatch.setattr("proofmill.llm.language_id.CELLS", 40 * 256)
+    monkeypatch.setattr("proofmill.llm.language_id.LETTERS", 100)
+    assert (Encoder(32, 1, 3)(texts) == whole).all()
+    assert (whole[7] == slow_bundle(texts[7], encode)).all()
