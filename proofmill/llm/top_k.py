@@ -10,12 +10,15 @@ block, and the k-th score so far is a lower bound from the start for all blocks
 then goes at once to the depth where the last values read no longer add up to it.
 
 Queries and candidates meet in a grid of blocks of bounded size, one task's work each; the k best of the
-blocks then meet for each query. That is the stated query set against all rows, in blocks.
+blocks then meet for each query. That is the stated query set against all rows, in blocks. What moves is a copy of each
+candidate for every ``QUERIES`` queries and one of each query for every ``CANDIDATES`` candidates, in the narrowest type
+that holds the components; of a query's own best only ids and scores move.
 
 Rows whose vector is null or holds a null or non-finite component take no part. A candidate of the query's
 own id is the query itself. Vectors meet those of their own length only; with length 0 all scores are
-0. Repeated candidates all count; a repeated query is asked once. Ties go to the smaller id. Components
-are whole numbers whose products fit 63 bits.
+0. Repeated candidates all count, but no answer holds more than k copies of one, so no more are searched; a
+repeated query is asked once. Ties go to the smaller id. Rows with a null id take no part. Components are whole numbers
+whose products fit 63 bits.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 16_384, 256
+CANDIDATES, QUERIES = 16_384, 8192
 #: Reading stops when one in so many candidates is left; resolving these then costs less than reading on.
 RESOLVED = 8
 #: Depths at which reading may stop, and candidates that are read together.
@@ -40,6 +43,12 @@ def quantized(vector: Column, scale: int = 1024) -> Column:
     return F.when(vector.isNotNull() & fits, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
+def narrow(vector: str, largest: int | None) -> Column:
+    """The vector in the narrowest type for components up to ``largest``."""
+    kind = next(t for t, bits in (("smallint", 15), ("int", 31), ("bigint", 64)) if (largest or 0) < 1 << bits)
+    return F.col(vector).cast(f"array<{kind}>")
+
+
 class Lists:
     """The sorted lists of one block of candidates."""
 
@@ -94,8 +103,14 @@ class Lists:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int = CANDIDATES, asked: int = QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score`` from frames of ``id`` (long) and ``v`` (array of long, not null)."""
-    queries = queries.select(F.col("id").alias("q"), F.col("v").alias("w")).distinct()
-    rows, columns = math.ceil(vectors.count() / candidates) or 1, math.ceil(queries.count() / asked) or 1
+    vectors = vectors.filter("id IS NOT NULL")
+    number, largest = vectors.agg(F.count("*"), F.max(F.greatest(F.array_max("v"), -F.array_min("v")))).first()
+    queries = queries.filter("id IS NOT NULL")
+    asks, largest_asked = queries.agg(F.count("*"), F.max(F.greatest(F.array_max("v"), -F.array_min("v")))).first()
+    rows, columns = math.ceil(number / candidates) or 1, math.ceil(asks / asked) or 1
+    vectors = vectors.groupBy("id", narrow("v", largest).alias("v")).agg(F.count("*").alias("n"))
+    vectors = vectors.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
+    queries = queries.select(F.col("id").alias("q"), narrow("v", largest_asked).alias("w")).distinct()
 
     def part(n: int, *of: str) -> Column:
         return F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
@@ -103,30 +118,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int =
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = vectors.select(F.size("v").alias("d"), "id", "v", part(rows, "id", "v").alias("r")).select("*", every(columns).alias("c"))
-    right = queries.select(F.size("w").alias("e"), "q", "w", part(columns, "q", "w").alias("y")).select("*", every(rows).alias("x"))
+    left = vectors.select(F.size("v").alias("d"), "id", "v", part(rows, "id", "v", "copy").alias("r")).select("*", every(columns).alias("c"))
+    right = queries.select(F.size("w").alias("e"), "q", "w", F.xxhash64("w").alias("h"), part(columns, "q", "w").alias("y")).select("*", every(rows).alias("x"))
 
     def block(them: pa.Table, asks: pa.Table) -> pa.Table:
         def matrix(t: pa.Table, name: str) -> np.ndarray:
-            return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) if len(t) else np.zeros((0, 0), np.int64)
+            return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(t), -1) if len(t) else np.zeros((0, 0), np.int64)
 
         found: list[tuple[np.ndarray, ...]] = []
         if len(them) and len(asks):
             d = them.column("d")[0].as_py()
             ids, vs = them.column("id").to_numpy(), matrix(them, "v").reshape(len(them), d)
             blocks = [Lists(ids[at : at + BLOCK], vs[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
-            for row, (own, query) in enumerate(zip(asks.column("q").to_pylist(), matrix(asks, "w").reshape(len(asks), d))):
+            for own, h, query in zip(asks.column("q").to_pylist(), asks.column("h").to_pylist(), matrix(asks, "w").reshape(len(asks), d)):
                 best, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 for lists in blocks:
                     more = lists.top(own, query, k, int(scores[-1]) if len(scores) == k else None)
                     best, scores = np.concatenate([best, more[0]]), np.concatenate([scores, more[1]])
                     order = np.lexsort((best, -scores))[:k]
                     best, scores = best[order], scores[order]
-                found.append((np.full(len(best), own), np.full(len(best), row), best, scores))
-        q, n, i, s = (np.concatenate(x).astype(np.int64) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 4))
-        v = asks.column("w").combine_chunks().take(pa.array(n)) if len(n) else pa.array([], pa.list_(pa.int64()))
-        return pa.table({"query_id": q, "v": v, "vec_id": i, "score": s})
+                found.append((np.full(len(best), own), np.full(len(best), h), best, scores))
+        q, h, i, s = (np.concatenate(x).astype(np.int64) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 4))
+        return pa.table({"query_id": q, "h": h, "vec_id": i, "score": s})
 
-    parts = left.groupBy("d", "r", "c").cogroup(right.groupBy("e", "x", "y")).applyInArrow(block, "query_id long, v array<long>, vec_id long, score long")
-    order = Window.partitionBy("query_id", F.xxhash64("v")).orderBy(F.desc("score"), "vec_id")
+    parts = left.groupBy("d", "r", "c").cogroup(right.groupBy("e", "x", "y")).applyInArrow(block, "query_id long, h long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -49,3 +49,14 @@ def test_edges(spark):
     got = sorted(map(tuple, top_k(df, df.filter("id = 0")).collect()))
     assert got == [(0, 1, 7, 2 << 20), (0, 2, 7, 2 << 20), (0, 3, 5, -512)]
     assert top_k(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_copies_types_and_null_ids(spark):
+    """A candidate that comes very often is searched k times at most; wide components stay exact."""
+    for big in (3, 40_000, 1 << 30):
+        rows = [(1, [big, 1])] * 300 + [(2, [big, -1])] * 3 + [(3, [-big, 5]), (None, [big, big]), (4, []), (5, [1, 1, 1])]
+        df = spark.createDataFrame(rows, "id long, v array<long>")
+        got = sorted(map(tuple, top_k(df, df.filter("id in (2, 3)"), 5, candidates=8, asked=1).collect()))
+        want = [(2, n + 1, 1, big * big - 1) for n in range(5)]
+        want += [(3, n + 1, 1, 5 - big * big) for n in range(5)]
+        assert got == want
