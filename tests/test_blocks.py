@@ -1,0 +1,41 @@
+"""A file is read block by block: what lies inside the body of a method takes no step of its own."""
+
+from pyspark.sql import functions as F
+
+from proofmill.functions import java
+from proofmill.operators import files as FO
+
+
+def structure(spark, code):
+    df = spark.createDataFrame([(code,)], "c string")
+    return df.select(java.read_structure(F.col("c")).alias("s")).first().s
+
+
+def test_steps_grow_with_methods_and_not_with_braces_inside(spark):
+    body = "if (a) { b('{'); } else { /* } */ c(\"}\"); }\n" * 50
+    read = structure(spark, "class A {\n" + "".join(f"void m{i}() {{ {body} }}\n" for i in range(3)) + "}\n")
+    assert len(read.pieces) == 5 and read.depth == 0
+    assert [(e.turn, e.depth) for e in read.events] == [(1, 0), (0, 1), (0, 1), (0, 1), (-1, 1)]
+    assert [e.line for e in read.events] == [1, 1, 52, 103, 154]
+
+
+def test_deep_blocks_and_types_that_open_later_are_read_brace_by_brace(files):
+    deep = "class A {\n  int f() " + "{" * 30 + " go(); " + "}" * 30 + "\n  int g() { return 1; }\n}\n"
+    later = "@X({1}) class B { int h(int n) { if (n > 0) { } return n; } }"
+    stuck = "class C { } } void i() { }"
+    rows = {
+        r.path: r for r in FO.read_files(files({"1_p/a": deep, "1_p/b": later, "1_p/c": stuck})).collect()
+    }
+    assert [(m.method_name, m.start_n, m.end_n) for m in rows["1_p/a"].methods] == [("f", 2, 2), ("g", 3, 3)]
+    assert rows["1_p/a"].methods[0].text == deep.split("\n")[1]
+    assert [m.text for m in rows["1_p/b"].methods] == [later[:-2]]
+    assert [rows[p].parses for p in sorted(rows)] == [True, True, False]
+
+
+def test_even_braces_at_any_depth(spark):
+    codes = {
+        "": True, "a": True, "{}": True, "a { b {} c } {}": True, "}{": False, "{": False, "{}}{": False,
+        "{" * 30 + "}" * 30: True, "{" * 30 + "}" * 29: False, "}" + "{" * 30 + "}" * 30 + "{": False,
+    }
+    df = spark.createDataFrame(list(codes.items()), "c string, even boolean")
+    assert df.filter(java.braces_balance(F.col("c")) != F.col("even")).count() == 0
