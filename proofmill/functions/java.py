@@ -57,7 +57,9 @@ def blank_literals(code: Column) -> Column:
     """Blank strings, character literals and comments, keeping length and line ends."""
     def blank(p: Column) -> Column:
         opaque = p.startswith('"') | p.startswith("'") | p.startswith("//") | p.startswith("/*")
-        lines = F.when(p.contains("\n"), F.regexp_replace(p, r"[^\n]", " ")).otherwise(F.repeat(F.lit(" "), F.length(p)))
+        # Many signs at once, then what is left of each line.
+        lines = F.regexp_replace(F.regexp_replace(p, r"[^\n]{16}", " " * 16), r"[^\n ]", " ")
+        lines = F.when(p.contains("\n"), lines).otherwise(F.repeat(F.lit(" "), F.length(p)))
         return F.when(opaque, lines).otherwise(p)
 
     def blanked(c: Column) -> Column:
@@ -75,26 +77,30 @@ def _after_newline(text: Column) -> Column:
     return F.length(F.substring_index(text, "\n", -1))
 
 
-# turn: 1 opens, -1 closes, 0 is a whole block; depth and line (from 1) before piece i, which has so many line ends.
-_EVENTS = "array<struct<turn:int,depth:int,i:int,line:int,lines:int>>"
+# turn: 1 opens, -1 closes, 0 is a whole block; depth and line (from 1) before piece i, which has so many line ends; its text
+# up to its first brace.
+_EVENTS = "array<struct<turn:int,depth:int,i:int,line:int,lines:int,head:string>>"
 # Pieces that are folded into one array: appending copies the array, so it has to stay short.
 _BLOCK = 128
+# A length that reaches to the end of any text.
+_TO_END = 2**31 - 1
 
 
 def _step(acc: Column, piece: Column) -> Column:
     turn, depth = piece["turn"], acc["depth"]
     event = F.struct(
         turn.alias("turn"), depth.alias("depth"), piece["i"].alias("i"), acc["line"].alias("line"), piece["lines"].alias("lines"),
+        piece["head"].alias("head"),
     )
     kept = F.when(turn == 0, depth == 1).otherwise(depth * 2 <= 3 - turn)
     return F.struct(
         (acc["line"] + piece["lines"]).alias("line"), F.when(depth < 0, depth).otherwise(depth + turn).alias("depth"),
-        F.when(kept, F.concat(acc["events"], F.array(event))).otherwise(acc["events"]).alias("events"),
+        F.when(kept, F.array_append(acc["events"], event)).otherwise(acc["events"]).alias("events"),
     )
 
 
 def _folded(pieces: Column) -> Column:
-    """Final depth and events of pieces (turn, i, lines), folded block by block, so that the work grows in proportion."""
+    """Final depth and events of pieces (turn, i, lines, head), folded block by block, so that the work grows in proportion."""
     state = f"struct<line:int,depth:int,events:{_EVENTS}>"
     none = F.array().cast(_EVENTS)
 
@@ -123,37 +129,34 @@ def read_structure(code: Column) -> Column:
 
     A piece is the text up to a brace.  Where the first brace opens a type, a later block is one piece with the text
     before it, so that what lies inside the body of a method is passed over as a whole.  An event is a piece that ends
-    or holds a brace of file or type level.  ``heads`` has each piece up to its first brace, ``top`` the blanked head
-    of a type that the first brace opens.  A depth that fell below zero stays there.
+    or holds a brace of file or type level, with its text up to its first brace.  ``top`` is the blanked head of a type
+    that the first brace opens.  A depth that fell below zero stays there.
     """
     def top_of(pieces: Column) -> Column:
         first = F.try_element_at(pieces, F.lit(1))
         return let(F.when(first.endswith("{"), blank_literals(first)), lambda head: F.when(head.rlike(_TYPE), head))
 
     def cut(x: Column) -> Column:
-        known = x["top"].isNotNull()
         return F.struct(
             x["top"].alias("top"),
-            F.when(known, x["pieces"]).otherwise(F.regexp_extract_all(x["code"], F.lit(_TO_BRACE), F.lit(0))).alias("pieces"),
-            F.when(known, F.transform(
-                x["pieces"], lambda s: F.when(s.endswith("}"), F.regexp_extract(s, _TO_BRACE, 0)).otherwise(s)
-            )).alias("heads"),
+            F.when(x["top"].isNotNull(), x["pieces"]).otherwise(F.regexp_extract_all(x["code"], F.lit(_TO_BRACE), F.lit(0))).alias("pieces"),
         )
 
-    def with_heads(x: Column) -> Column:
-        heads = F.coalesce(x["heads"], x["pieces"])
-        turned = F.transform(
-            x["pieces"],
-            lambda s, i: F.struct(
-                F.when(s.endswith("{"), 1).when(F.element_at(heads, i + 1).endswith("{"), 0).otherwise(-1).alias("turn"),
-                i.alias("i"), _newlines(s).alias("lines"),
-            ),
-        )
+    def folded(x: Column) -> Column:
+        def turned(s: Column, i: Column) -> Column:
+            whole = x["top"].isNotNull() & s.endswith("}")
+            return let(
+                F.when(whole, F.regexp_extract(s, _TO_BRACE, 0)).otherwise(s),
+                lambda head: F.struct(
+                    F.when(s.endswith("{"), 1).when(head.endswith("{"), 0).otherwise(-1).alias("turn"), i.alias("i"),
+                    _newlines(s).alias("lines"), head.alias("head"),
+                ),
+            )
+
         return let(
-            let(turned, _folded),
+            let(F.transform(x["pieces"], turned), _folded),
             lambda end: F.struct(
-                end["depth"].alias("depth"), end["events"].alias("events"),
-                x["pieces"].alias("pieces"), heads.alias("heads"), x["top"].alias("top"),
+                end["depth"].alias("depth"), end["events"].alias("events"), x["pieces"].alias("pieces"), x["top"].alias("top"),
             ),
         )
 
@@ -161,7 +164,7 @@ def read_structure(code: Column) -> Column:
         F.regexp_extract_all(code, F.lit(_TO_MEMBER), F.lit(0)),
         lambda pieces: F.struct(code.alias("code"), pieces.alias("pieces"), top_of(pieces).alias("top")),
     )
-    return let(let(found, cut), with_heads)
+    return let(let(found, cut), folded)
 
 
 def first_type(structure: Column) -> Column:
@@ -171,7 +174,7 @@ def first_type(structure: Column) -> Column:
             structure["events"],
             lambda e, i: F.when(
                 (e["turn"] == 1) & (e["depth"] == 0),
-                F.struct(i.alias("at"), blank_literals(F.element_at(structure["heads"], e["i"] + 1)).alias("head")),
+                F.struct(i.alias("at"), blank_literals(e["head"]).alias("head")),
             ),
         ),
         lambda h: h["head"].rlike(_TYPE),
@@ -230,57 +233,15 @@ def class_count(code: Column) -> Column:
     return F.regexp_count(code, F.lit(_TO_CLASS))
 
 
-def _declarations(x: Column) -> Column:
-    """Possible member heads among the events of a type: what ends at a body or at a semicolon.
-
-    A head has its piece ``i``, the piece ``j`` that closes its body, the text ``above`` it in its piece, and the
-    number of the piece's first line and of its last.
-    """
-    events, heads = x["events"], x["heads"]
-
-    def parts_of(k: Column) -> Column:
-        event, following = F.element_at(events, k + 1), F.try_element_at(events, k + 2)
-        whole = event["turn"] == 0
-        return F.struct(
-            event["i"].alias("i"), event["line"].alias("line"), (event["turn"] >= 0).alias("opens"),
-            F.when(whole, event["i"]).otherwise(following["i"]).alias("j"),
-            F.when(whole, event["line"] + event["lines"]).otherwise(following["line"] + following["lines"]).alias("end_n"),
-            F.split(blank_literals(F.element_at(heads, event["i"] + 1)), ";", -1).alias("parts"),
-        )
-
-    def heads_of(p: Column) -> Column:
-        def head(part: Column, at: Column) -> Column:
-            last = at == F.size(p["parts"]) - 1
-            return F.when(
-                part.contains("(") & (p["opens"] | ~last),
-                F.struct(
-                    F.when(last, part).otherwise(F.concat(part, F.lit(";"))).alias("head"),
-                    F.when(at == 0, "").otherwise(F.concat(F.array_join(F.slice(p["parts"], F.lit(1), at), ";"), F.lit(";")))
-                    .alias("above"),
-                    last.alias("body"), p["i"].alias("i"), p["j"].alias("j"), p["line"].alias("line"), p["end_n"].alias("end_n"),
-                ),
-            )
-
-        return F.filter(F.transform(p["parts"], head), lambda h: h.isNotNull())
-
-    # Places alone are filtered: an event that is carried along is copied at every step.
-    places = F.transform(
-        events, lambda e, k: F.when((e["depth"] == 1) & F.element_at(heads, e["i"] + 1).contains("("), k)
-    )
-    top = F.filter(places, lambda k: k.isNotNull())
-    return F.flatten(F.transform(F.transform(top, parts_of), heads_of))
-
-
 def members(structure: Column, kind: Column) -> Column:
     """Methods of the first type in text order, each with lines, text and doc comment.
 
-    Written as a row of small transforms, so that each regular expression runs
-    once per member and only on members that are still in the running.  A
-    member begins with its line, and its text is cut from its own pieces.
+    Every event is looked at once: what it holds is cut at semicolons, and a regular expression runs only on a part that is
+    still in the running.  A member begins with its line, and its text is cut from its own pieces.
     """
     return let(
         F.struct(
-            structure["pieces"].alias("pieces"), structure["heads"].alias("heads"), type_name(kind).alias("class_name"),
+            structure["pieces"].alias("pieces"), type_name(kind).alias("class_name"),
             F.slice(
                 structure["events"], kind["at"] + 2,
                 F.coalesce(kind["end"], F.size(structure["events"])) - kind["at"],
@@ -291,59 +252,78 @@ def members(structure: Column, kind: Column) -> Column:
 
 
 def _members(x: Column) -> Column:
-    def signature(e: Column) -> Column:
-        return F.struct(
-            e.alias("e"), F.regexp_extract(e["head"], _SIGNATURE, 1).alias("name"),
-        )
-
-    def lead_of(m: Column) -> Column:
-        return F.struct(m["e"].alias("e"), m["name"].alias("name"), F.regexp_extract(m["e"]["head"], _LEAD, 0).alias("lead"))
-
-    def rest_of(m: Column) -> Column:
-        rest = F.substring(m["e"]["head"], F.length(m["lead"]) + 1, F.length(m["e"]["head"]))
-        return F.struct(
-            m["e"].alias("e"), m["name"].alias("name"), F.concat(m["e"]["above"], m["lead"]).alias("before"),
-            rest.alias("rest"), F.regexp_extract(rest, _BARE_NAME, 1).alias("bare"),
-        )
+    def members_of(e: Column, k: Column) -> Column:
+        """Members whose heads end in an event: at a body or at a semicolon."""
+        def at_part(parts: Column) -> Column:
+            def member(part: Column, at: Column) -> Column:
+                last = at == F.size(parts) - 1
+                head = F.when(last, part).otherwise(F.concat(part, F.lit(";")))
+                above = F.when(at == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), at), ";"), F.lit(";")))
+                return F.when(
+                    part.contains("(") & ((e["turn"] >= 0) | ~last),
+                    let(
+                        F.struct(head.alias("head"), F.regexp_extract(head, _SIGNATURE, 1).alias("name")),
+                        lambda m: F.when(m["name"] != "", method(e, k, m, above, last)),
+                    ),
+                )
+
+            return F.filter(F.transform(parts, member), lambda m: m.isNotNull())
+
+        return let(F.split(blank_literals(e["head"]), ";", -1), at_part)
+
+    def method(e: Column, k: Column, m: Column, above: Column, body: Column) -> Column:
+        """A method by its head, without what is above it in its event; NULL when it is none."""
+        def rest_of(lead: Column) -> Column:
+            rest = F.substring(m["head"], F.length(lead) + 1, F.lit(_TO_END))
+            return let(
+                let(rest, lambda r: F.struct(r.alias("rest"), F.regexp_extract(r, _BARE_NAME, 1).alias("bare"))),
+                lambda r: F.when(
+                    ((r["bare"] == "") | (r["bare"] == x["class_name"]))
+                    & ~r["rest"].contains("=") & ~r["rest"].rlike(r"^(?:new|record|return|throw)\b"),
+                    let(
+                        let(above, lambda a: F.struct(a.alias("above"), F.concat(a, lead).alias("before"))),
+                        lambda p: describe(e, k, m, p, r["bare"], body),
+                    ),
+                ),
+            )
 
-    def is_method(m: Column) -> Column:
-        return (
-            ((m["bare"] == "") | (m["bare"] == x["class_name"]))
-            & ~m["rest"].contains("=") & ~m["rest"].rlike(r"^(?:new|record|return|throw)\b")
-        )
+        return let(F.regexp_extract(m["head"], _LEAD, 0), rest_of)
 
-    def describe(m: Column) -> Column:
-        e, head = m["e"], F.element_at(x["heads"], m["e"]["i"] + 1)
-        whole = F.when(~e["body"], F.substring(head, F.lit(1), F.length(e["above"]) + F.length(e["head"]))).when(
-            e["i"] == e["j"], F.element_at(x["pieces"], e["i"] + 1)
-        ).otherwise(F.array_join(F.slice(x["pieces"], e["i"] + 1, e["j"] - e["i"] + 1), ""))
+    def describe(e: Column, k: Column, m: Column, p: Column, bare: Column, body: Column) -> Column:
+        following = F.try_element_at(x["events"], k + 2)
+        whole = F.when(~body, F.substring(e["head"], F.lit(1), F.length(p["above"]) + F.length(m["head"]))).when(
+            e["turn"] == 0, F.element_at(x["pieces"], e["i"] + 1)
+        ).otherwise(F.array_join(F.slice(x["pieces"], e["i"] + 1, following["i"] - e["i"] + 1), ""))
         # The line may begin in an earlier piece.
         line = F.substring_index(F.array_join(F.slice(x["pieces"], F.lit(1), e["i"]), ""), "\n", -1)
-        start = F.length(m["before"]) - _after_newline(m["before"]) + 1
-        gap = F.substring(head, F.length(e["above"]) + 1, F.length(F.regexp_extract(e["head"], r"^\s*+", 0)))
+        start = F.length(p["before"]) - _after_newline(p["before"]) + 1
+        gap = F.substring(e["head"], F.length(p["above"]) + 1, F.length(F.regexp_extract(m["head"], r"^\s*+", 0)))
         return F.struct(
             m["name"].alias("method_name"),
-            (m["bare"] == x["class_name"]).alias("is_ctor"),
-            (e["line"] + _newlines(m["before"])).alias("start_n"),
-            F.when(e["body"], e["end_n"]).otherwise(e["line"] + _newlines(e["above"]) + _newlines(e["head"])).alias("end_n"),
-            F.when(m["before"].contains("\n"), let(whole, lambda w: F.substring(w, start, F.length(w))))
+            (bare == x["class_name"]).alias("is_ctor"),
+            (e["line"] + _newlines(p["before"])).alias("start_n"),
+            F.when(~body, e["line"] + _newlines(p["above"]) + _newlines(m["head"]))
+            .when(e["turn"] == 0, e["line"] + e["lines"]).otherwise(following["line"] + following["lines"]).alias("end_n"),
+            F.when(p["before"].contains("\n"), F.substring(whole, start, F.lit(_TO_END)))
             .otherwise(F.concat(line, whole)).alias("text"),
             F.when(
-                head.contains("/**"),
+                e["head"].contains("/**"),
                 let(gap, lambda g: F.try_element_at(F.regexp_extract_all(g, F.lit(_DOC), F.lit(0)), F.lit(-1))),
             ).alias("docstring"),
         )
 
-    signed = F.filter(F.transform(_declarations(x), signature), lambda m: m["name"] != "")
-    methods = F.filter(F.transform(F.transform(signed, lead_of), rest_of), is_method)
-    return F.transform(methods, describe)
+    found = F.transform(
+        x["events"], lambda e, k: F.when((e["depth"] == 1) & e["head"].contains("("), members_of(e, k))
+    )
+    return F.flatten(F.filter(found, lambda m: m.isNotNull()))
 
 
 def constructors_first(methods: Column) -> Column:
-    """Catalogue order; pass a column, as it is used twice."""
-    return F.concat(
-        F.filter(methods, lambda m: m["is_ctor"]), F.filter(methods, lambda m: ~m["is_ctor"])
-    )
+    """Catalogue order; pass a column, as it is used several times."""
+    return F.when(
+        F.exists(methods, lambda m: m["is_ctor"]),
+        F.concat(F.filter(methods, lambda m: m["is_ctor"]), F.filter(methods, lambda m: ~m["is_ctor"])),
+    ).otherwise(methods)
 
 
 def braces_balance(blanked: Column) -> Column:

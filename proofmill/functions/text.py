@@ -53,8 +53,11 @@ def lies_in(path: Column, folder: str) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Work ``value`` out once and use it several times inside an expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """Work ``value`` out once and use it several times inside an expression.
+
+    The value is what a fold over nothing begins with, as a transform would copy the whole result once more.
+    """
+    return F.aggregate(F.array(), value, lambda acc, _: acc, body)
 
 
 def strip(text: Column) -> Column:

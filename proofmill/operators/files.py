@@ -114,9 +114,9 @@ def read_files(files: DataFrame) -> DataFrame:
     """
     folded = computed_once(files, "structure", java.read_structure(F.col("content")))
     typed = computed_once(folded, "first_type", java.first_type(F.col("structure")))
-    listed = computed_once(
-        typed, "found", java.members(F.col("structure"), F.col("first_type"))
-    )
+    # In catalogue order before it is stored: whoever explodes the methods asks for their number first.
+    found = F.coalesce(java.members(F.col("structure"), F.col("first_type")), F.array().cast(METHODS))
+    listed = computed_once(typed, "found", text.let(found, java.constructors_first))
     return listed.select(
         *files.columns,
         java.type_name(F.col("first_type")).alias("class_name"),
@@ -125,7 +125,7 @@ def read_files(files: DataFrame) -> DataFrame:
         text.package_name(F.col("content")).alias("package"),
         text.import_entries(F.col("content")).alias("imports"),
         java.parses(F.col("structure"), F.col("first_type")).alias("parses"),
-        java.constructors_first(F.coalesce("found", F.array().cast(METHODS))).alias("methods"),
+        F.col("found").alias("methods"),
     )
 
 

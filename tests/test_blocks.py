@@ -39,3 +39,18 @@ def test_even_braces_at_any_depth(spark):
     }
     df = spark.createDataFrame(list(codes.items()), "c string, even boolean")
     assert df.filter(java.braces_balance(F.col("c")) != F.col("even")).count() == 0
+
+
+def test_a_catalogue_is_put_in_order_once(files):
+    catalog = FO.method_catalog(FO.read_files(files({"1_p/a": "class A { void f() { } A() { } }"})))
+    plan = catalog._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter ")]
+    assert filters and not any("is_ctor" in line for line in filters)
+    assert [r.method_name for r in catalog.orderBy("ordinal").collect()] == ["A", "f"]
+
+
+def test_blanks_keep_the_length_of_every_line(spark):
+    code = "/* " + "x" * 40 + "\n" + "\U0001f600" * 17 + " y\n\n*/ int a; /* z\n */"
+    df = spark.createDataFrame([(code,)], "c string")
+    want = " " * 43 + "\n" + " " * 19 + "\n\n   int a;     \n   "
+    assert df.select(java.blank_literals(F.col("c"))).first()[0] == want
