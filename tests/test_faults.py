@@ -138,3 +138,11 @@ def test_no_shared_folder_on_a_cluster():
     cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", applicationId="a"), conf=SimpleNamespace(get=lambda *_: None))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(cluster)
+
+
+def test_bad_prefixes_are_not_taken_to_the_driver(spark):
+    tests = spark.createDataFrame([("math", 1, 0), ("math", 1, 1), ("math", None, 0), ("math", 1, 1)], "bug_project string, bug_id long, test_no int")
+    bad = spark.createDataFrame([("math", 1, 1), ("math", 1, 1), ("math", None, 0)], "bug_project string, bug_id long, test_no int")
+    left = outcomes.drop_bad_prefixes(tests, bad)
+    assert sorted(map(str, left.collect())) == sorted(map(str, tests.filter("test_no = 0").collect()))
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
