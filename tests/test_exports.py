@@ -1,8 +1,37 @@
-"""What exports and corpora write: tokens without arrays."""
+"""What exports and corpora write: text of tests once, tokens without arrays."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from proofmill.functions import text
+from proofmill.operators import focal
+from proofmill.plans import first_assertion, per_assertion
+
+SOURCE = "class A {\n  int f(int a) { return a; }\n  /** G. */\n  int g() { return 1; }\n}\n"
+TEST = (
+    "package p;\npublic class AEvoSuiteTest {\n  @Test\n  public void test0()  {\n    A a = new A();\n    assertEquals(1, a.g());\n"
+    "    assertTrue(a.f(2) > 1);\n  }\n\n  @Test\n  public void test1()  {\n    assertTrue(b);\n  }\n}\n"
+)
+
+
+def tree(files):
+    return files({"1_a/src/main/java/p/A.java": SOURCE, "1_a/evosuite-tests/p/AEvoSuiteTest.java": TEST})
+
+
+@pytest.mark.parametrize("plan", ["first", "per-assert"])
+def test_text_of_tests_is_not_written_again(spark, files, monkeypatch, plan):
+    written, keep = {}, focal.written_once
+    monkeypatch.setattr(focal, "written_once", lambda df, name: written.update({name: df.columns}) or keep(df, name))
+    if plan == "first":
+        got = first_assertion.tests_with_focal(tree(files)).select("ordinal", F.lit(0), "focal.focal_ordinal", "focal.text")
+    else:
+        got = per_assertion.run(tree(files)).splits.select("ordinal", "split_no", "focal.focal_ordinal", "focal.text")
+    f, g = "  int f(int a) { return a; }", "  int g() { return 1; }"
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, (
+        [(0, 0, 0, f), (1, 0, None, None)] if plan == "first"
+        else [(0, 0, 1, g), (0, 1, 0, f), (0, 2, None, None), (1, 0, None, None), (1, 1, None, None)]
+    )))
+    assert not {"text", "split_text", "methods"} & set(written["chosen"])
 
 
 def test_tokens_need_no_array(spark):
