@@ -52,8 +52,7 @@ def build_per_assertion(spark: SparkSession, args: argparse.Namespace) -> None:
     text_pairs.write_pairs(
         spark.read.parquet(f"{args.output}/samples"), f"{args.output}/text", order, by_project=False
     )
-    text_pairs.write_inputs(per_assertion.inputs(stages.splits), args.output, order)
-    text_pairs.write_meta(per_assertion.meta(stages.splits, args.skip_comments), args.output, order)
+    text_pairs.write_inputs(per_assertion.inputs(stages.splits, True, args.skip_comments), args.output, order)
     per_assertion.reject_counts(stages).write.json(f"{args.output}/rejects")
     spark.read.json(f"{args.output}/rejects").orderBy("stage", "reason").show(50, False)
 

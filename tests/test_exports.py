@@ -1,11 +1,15 @@
-"""What exports and corpora write: text of tests once, tokens without arrays."""
+"""What exports and corpora write: both CSV files, text of tests once, tokens without arrays."""
+
+import csv
 
 import pytest
 from pyspark.sql import functions as F
 
+from proofmill import constants as C
 from proofmill.functions import text
 from proofmill.operators import focal
 from proofmill.plans import first_assertion, per_assertion
+from proofmill.sinks import text_pairs
 
 SOURCE = "class A {\n  int f(int a) { return a; }\n  /** G. */\n  int g() { return 1; }\n}\n"
 TEST = (
@@ -18,6 +22,25 @@ def tree(files):
     return files({"1_a/src/main/java/p/A.java": SOURCE, "1_a/evosuite-tests/p/AEvoSuiteTest.java": TEST})
 
 
+def rows_of(folder, half):
+    found = []
+    for part in sorted((folder / half).glob("part-*.csv")):
+        with open(part, newline="") as f:
+            found += list(csv.DictReader(f))
+    return found
+
+
+def test_inputs_come_with_their_meta(spark, tmp_path):
+    made = spark.range(200).select(
+        F.lit("p").alias("path"), F.lit(0).alias("ordinal"), (F.col("id") % 3).alias("split_no"),
+        *(F.concat(F.lit(f"{c}\n"), F.col("id") * 7 % 200).alias(c) for c in (*C.INPUT_COLUMNS, *C.META_COLUMNS)),
+    ).repartition(7)
+    text_pairs.write_inputs(made, str(tmp_path), ["path", "ordinal", "split_no"])
+    inputs, meta = rows_of(tmp_path, "inputs.csv"), rows_of(tmp_path, "meta.csv")
+    assert len(inputs) == len(meta) == 200
+    assert all(i["test_prefix"].split("\n")[1] == m["test_name"].split("\n")[1] for i, m in zip(inputs, meta, strict=True))
+
+
 @pytest.mark.parametrize("plan", ["first", "per-assert"])
 def test_text_of_tests_is_not_written_again(spark, files, monkeypatch, plan):
     written, keep = {}, focal.written_once
